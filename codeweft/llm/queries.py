@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm import tokens
+from codeweft.llm import credentials, tokens
 from codeweft.session import table
 
 
@@ -15,5 +15,38 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_table(docs, "doc_id", "text")
 
 
-QUERIES = {"p8_ids": p8_ids}
+def _p2(spark: SparkSession, d: str) -> DataFrame:
+    parts = [("extract_all_functions", "fn_id", "body_src"), ("ai_pack_store", "store_id", "original_src")]
+    found = [
+        credentials.find_credentials(table(spark, d, t), i, c).select(
+            F.lit(t).alias("src_table"), F.col(i).alias("row_id"), "line_no", "kind"
+        )
+        for t, i, c in parts
+    ]
+    return found[0].unionByName(found[1])
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p2(spark, d).select("src_table", "row_id", "line_no")
+
+
+def p2_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return _p2(spark, d).groupBy("src_table", "kind").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    one = credentials.redact(table(spark, d, "extract_all_functions").select("fn_id", "body_src"), "body_src")
+    two = credentials.redact(table(spark, d, "ai_pack_store").select("store_id", "original_src"), "original_src")
+    return (
+        one.select(F.lit("extract_all_functions").alias("src_table"), F.col("fn_id").alias("row_id"), F.col("body_src").alias("text"))
+        .unionByName(two.select(F.lit("ai_pack_store").alias("src_table"), F.col("store_id").alias("row_id"), F.col("original_src").alias("text")))
+    )
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_kinds": p2_kinds,
+    "p2_redacted": p2_redacted,
+    "p8_ids": p8_ids,
+}
 SQL: dict[str, str] = {}
