@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm import credentials, tokens
+from codeweft.llm import credentials, handwritten, tokens
 from codeweft.session import table
 
 
@@ -43,10 +43,25 @@ def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_reasons(spark, d).select("repo", "rel_file")
+
+
+def p3_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, d, "extract_all_functions"), table(spark, d, "vendor_catalog"))
+
+
+def p3_handwritten(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.handwritten_rows(table(spark, d, "extract_all_functions"), table(spark, d, "vendor_catalog"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_kinds": p2_kinds,
     "p2_redacted": p2_redacted,
+    "p3_found": p3_found,
+    "p3_reasons": p3_reasons,
+    "p3_handwritten": p3_handwritten,
     "p8_ids": p8_ids,
 }
 SQL: dict[str, str] = {}
