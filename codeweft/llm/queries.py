@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm import credentials, handwritten, tokens
+from codeweft.llm import credentials, handwritten, pysyntax, tokens
 from codeweft.session import table
 
 
@@ -55,6 +55,23 @@ def p3_handwritten(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.handwritten_rows(table(spark, d, "extract_all_functions"), table(spark, d, "vendor_catalog"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_kinds(spark, d).select("repo", "file")
+
+
+def p7_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return pysyntax.broken_files(table(spark, d, "ai_pack_store"), "repo", "file", "python_src")
+
+
+def p7_rates_repo(spark: SparkSession, d: str) -> DataFrame:
+    return pysyntax.broken_rates(table(spark, d, "ai_pack_store"), "repo", "file", "python_src", ["repo"])
+
+
+def p7_rates_lang(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "ai_pack_store").withColumn("language", F.coalesce(F.lower("lang"), F.lit("unknown")))
+    return pysyntax.broken_rates(rows, "repo", "file", "python_src", ["language"])
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_kinds": p2_kinds,
@@ -62,6 +79,10 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_reasons": p3_reasons,
     "p3_handwritten": p3_handwritten,
+    "p7_found": p7_found,
+    "p7_kinds": p7_kinds,
+    "p7_rates_repo": p7_rates_repo,
+    "p7_rates_lang": p7_rates_lang,
     "p8_ids": p8_ids,
 }
 SQL: dict[str, str] = {}
