@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm import credentials, handwritten, pysyntax, tokens
+from codeweft.llm import credentials, handwritten, pysyntax, setjoin, tokens
 from codeweft.session import table
 
 
@@ -15,6 +15,23 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_table(docs, "doc_id", "text")
 
 
+SIMILAR_CLASSES = 0.75
+
+
+def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
+    columns = ["class_id", "class_hash", F.col("methods.hash").alias("hashes")]
+    rows = (
+        table(spark, d, "classes").select(*columns, F.lit(True).alias("is_class"))
+        .unionByName(table(spark, d, "class_catalog").select(*columns, F.lit(False).alias("is_class")))
+    )
+    pairs = setjoin.similar_records(rows, "class_id", "hashes", "class_hash", SIMILAR_CLASSES, F.col("is_class"))
+    return pairs.select(F.col("id_a").alias("class_id_a"), F.col("id_b").alias("class_id_b"), "similarity")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_pairs(spark, d).select("class_id_a", "class_id_b")
+
+
 def _p2(spark: SparkSession, d: str) -> DataFrame:
     parts = [("extract_all_functions", "fn_id", "body_src"), ("ai_pack_store", "store_id", "original_src")]
     found = [
@@ -73,6 +90,8 @@ def p7_rates_lang(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_pairs": p1_pairs,
     "p2_found": p2_found,
     "p2_kinds": p2_kinds,
     "p2_redacted": p2_redacted,
@@ -85,4 +104,15 @@ QUERIES = {
     "p7_rates_lang": p7_rates_lang,
     "p8_ids": p8_ids,
 }
-SQL: dict[str, str] = {}
+_P1 = """
+WITH c AS (SELECT DISTINCT class_id, class_hash, list_distinct(list_transform(methods, lambda x: x.hash)) AS hs, true AS own FROM classes
+           UNION ALL SELECT class_id, class_hash, list_distinct(list_transform(methods, lambda x: x.hash)), false FROM class_catalog),
+m AS (SELECT class_id, class_hash, own, len(hs) AS n, unnest(hs) AS h FROM c),
+p AS (SELECT a.class_id AS class_id_a, b.class_id AS class_id_b, count(*) AS k, max(greatest(a.n, b.n)) AS larger
+      FROM m a JOIN m b ON a.h = b.h AND a.class_id < b.class_id AND (a.own OR b.own)
+      WHERE a.class_hash IS DISTINCT FROM b.class_hash GROUP BY 1, 2)
+SELECT class_id_a, class_id_b, k / larger AS similarity FROM p WHERE k * 4 >= larger * 3"""
+SQL: dict[str, str] = {
+    "p1_found": f"SELECT class_id_a, class_id_b FROM ({_P1})",
+    "p1_pairs": _P1,
+}
