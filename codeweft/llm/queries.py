@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm import credentials, handwritten, pysyntax, setjoin, tokens
+from codeweft.llm import credentials, handwritten, history, pysyntax, setjoin, tokens
 from codeweft.session import table
 
 
@@ -72,6 +72,19 @@ def p3_handwritten(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.handwritten_rows(table(spark, d, "extract_all_functions"), table(spark, d, "vendor_catalog"))
 
 
+NEAR_REPEAT = 0.8
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    incoming = table(spark, d, "batch_functions").select(
+        F.col("occ_id").alias("row_id"), F.col("batch_no").alias("batch"), "hash", F.col("code").alias("text")
+    )
+    index = table(spark, d, "hash_index")
+    hashes = index.select("hash").unionByName(table(spark, d, "roots").select(F.col("sir_sha256").alias("hash")))
+    found = history.repeats_of_known(incoming, index.select(F.col("code").alias("text")), hashes, NEAR_REPEAT)
+    return found.select(F.col("row_id").alias("occ_id"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_kinds(spark, d).select("repo", "file")
 
@@ -98,6 +111,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_reasons": p3_reasons,
     "p3_handwritten": p3_handwritten,
+    "p5_found": p5_found,
     "p7_found": p7_found,
     "p7_kinds": p7_kinds,
     "p7_rates_repo": p7_rates_repo,
@@ -112,7 +126,25 @@ p AS (SELECT a.class_id AS class_id_a, b.class_id AS class_id_b, count(*) AS k,
       FROM m a JOIN m b ON a.h = b.h AND a.class_id < b.class_id AND (a.own OR b.own)
       WHERE a.class_hash IS DISTINCT FROM b.class_hash GROUP BY 1, 2)
 SELECT class_id_a, class_id_b, k / larger AS similarity FROM p WHERE k * 4 >= larger * 3"""
+_P5 = """
+WITH b AS (SELECT DISTINCT occ_id, batch_no, hash, code FROM batch_functions),
+h AS (SELECT DISTINCT code FROM hash_index WHERE code IS NOT NULL),
+w AS (SELECT 'h' || row_number() OVER () AS k, CAST(-1 AS BIGINT) AS bn, CAST(0 AS BIGINT) AS oc,
+             list_distinct(regexp_extract_all(code, '[A-Za-z0-9_]+')) AS ws FROM h
+      UNION ALL SELECT 'b' || occ_id, batch_no, occ_id, list_distinct(regexp_extract_all(code, '[A-Za-z0-9_]+')) FROM b WHERE code IS NOT NULL),
+t AS (SELECT k, bn, oc, len(ws) AS n, unnest(ws) AS x FROM w),
+df AS (SELECT x, count(*) AS f FROM t GROUP BY x),
+r AS (SELECT t.*, row_number() OVER (PARTITION BY k ORDER BY f, x) AS rn FROM t JOIN df USING (x)),
+p AS (SELECT * FROM r WHERE rn <= n - ceil(0.8 * n) + 1),
+c AS (SELECT DISTINCT a.oc AS occ_id, a.k AS ka, e.k AS ke, a.n AS na, e.n AS ne FROM p a JOIN p e ON a.x = e.x
+      AND (e.bn < a.bn OR e.bn = a.bn AND e.oc < a.oc) WHERE a.bn >= 0 AND least(a.n, e.n) >= 0.8 * greatest(a.n, e.n)),
+s AS (SELECT c.occ_id, ka, ke, any_value(na + ne) AS n, count(*) AS k FROM c JOIN t a ON a.k = ka JOIN t e ON e.k = ke AND e.x = a.x GROUP BY 1, 2, 3),
+known AS (SELECT hash FROM hash_index WHERE hash IS NOT NULL UNION SELECT sir_sha256 FROM roots WHERE sir_sha256 IS NOT NULL)
+SELECT occ_id FROM s WHERE k * 10 >= 8 * (n - k)
+UNION SELECT occ_id FROM b WHERE hash IN (SELECT hash FROM known)
+UNION SELECT b.occ_id FROM b JOIN b e ON e.hash = b.hash AND (e.batch_no < b.batch_no OR e.batch_no = b.batch_no AND e.occ_id < b.occ_id)"""
 SQL: dict[str, str] = {
+    "p5_found": _P5,
     "p1_found": f"SELECT class_id_a, class_id_b FROM ({_P1})",
     "p1_pairs": _P1,
 }
