@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm import credentials, handwritten, history, pysyntax, setjoin, tokens
+from codeweft.llm import credentials, handwritten, history, mixing, pysyntax, setjoin, splitting, tokens
 from codeweft.session import table
 
 
@@ -102,6 +102,23 @@ def p7_rates_lang(spark: SparkSession, d: str) -> DataFrame:
     return pysyntax.broken_rates(rows, "repo", "file", "python_src", ["language"])
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    chosen, _ = mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), "doc_id", "text", "source")
+    return chosen
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    _, report = mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), "doc_id", "text", "source")
+    return report
+
+
+PIECE_TOKENS, PIECE_OVERLAP = 512, 64
+
+
+def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_texts(table(spark, d, "documents"), "doc_id", "text", PIECE_TOKENS, PIECE_OVERLAP)
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pairs": p1_pairs,
@@ -117,6 +134,9 @@ QUERIES = {
     "p7_rates_repo": p7_rates_repo,
     "p7_rates_lang": p7_rates_lang,
     "p8_ids": p8_ids,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+    "p10_pieces": p10_pieces,
 }
 _P1 = """
 WITH c AS (SELECT DISTINCT class_id, class_hash, list_distinct(list_transform(methods, lambda x: x.hash)) AS hs, true AS own FROM classes

@@ -84,6 +84,11 @@ def coder(name: str = DEFAULT_TOKENIZER, folder: str | None = None) -> SegmentId
     return _CODERS[path]
 
 
+def segments(text: str) -> list[str]:
+    """Parts of a text whose ids are the text's ids when joined; all but the first begin with a line feed."""
+    return _SEGMENTS(text)
+
+
 def encode_bytes(text: str, ids: SegmentIds) -> bytes:
     """Ids of a text as int32 bytes."""
     return b"".join(map(ids.__getitem__, _SEGMENTS(text)))
