@@ -165,8 +165,8 @@ _NAMED = re.compile(
     rf"""(?P<name>[A-Za-z_$][\w$\-ñ]*)(?:\\*["'`])?\s*\]?\s*(?::\s*[A-Za-z][\w<>\[\]?.]*\s*)?(?::=|=>|=(?!=)|:(?!:)|,(?=\s*\\*["'`]))\s*[bruf]?{_STR}""",
     re.X,
 )
-_NEXT = re.compile(r"""\s*(?:\+|\.|\\)?\s*["'`](?P<v>[^"'`\n]*)["'`]""")
-_JOIN = re.compile(r"""[ \t]*(?:\+|\.|\\)?[ \t]*\r?\n[ \t]*(?:\+|\.)?[ \t]*(?=["'`])|[ \t]*(?:\+|\.)[ \t]*(?=["'`])""")
+_NEXT = re.compile(r"""["'`](?P<v>[^"'`\n]*)["'`]""")
+_JOIN = re.compile(r"""[ \t]*[+.]?[ \t]*\\?\r?\n[ \t]*[+.]?[ \t]*(?=["'`])|[ \t]*[+.][ \t]*(?=["'`])""")
 _SCHEME = re.compile(r"\b(?P<s>Basic|Bearer|Token|ApiKey|Negotiate)\s+(?P<v>[A-Za-z0-9+/=_.\-~]{6,})")
 _URL = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.\-]*://(?P<u>[^\s:/@\"'`]*):(?P<v>[^\s\"'`/]+)@(?=[\w\[.\-])")
 _URL_WIDE = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.\-]*://(?P<u>[^\s:/@\"'`]*):(?P<v>[^\s\"'`]+)@(?=[a-zA-Z][\w\-]*\.[\w.\-]+(?::\d+)?/)")
@@ -392,7 +392,7 @@ def blank(text: str, found: list[Finding]) -> str:
     for f in found:
         value = text[f.start : f.end]
         out.append(text[at : f.start])
-        keep = re.compile(r"-----(?:BEGIN|END) [A-Z0-9 ]+-----|\\[nr]|[\r\n]|[\"'`]\s*[+.]?\s*[\"'`]")
+        keep = re.compile(r"-----(?:BEGIN|END) [A-Z0-9 ]+-----|\\[nr]|[\r\n]|[\"'`]\s*[+.]?\s*\\?\s*[+.]?\s*[\"'`]")
         pos = 0
         for m in keep.finditer(value):
             out.append("*" * (m.start() - pos) + m.group())
