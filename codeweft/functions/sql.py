@@ -21,7 +21,7 @@ def _text_udf(make: Callable[[str], object], kind: str = "string"):
         known = {t: make(t) for t in s.dropna().unique()}
         return s.map(known) if len(known) else pd.Series([None] * len(s), dtype=object)
 
-    return run
+    return run.asNondeterministic()  # else a filter on the result computes it a second time
 
 
 def sem_hash(code: Column, variant: str = pycanon.STRICT) -> Column:
@@ -57,7 +57,7 @@ def js_hash(params: Column, body: Column) -> Column:
     def run(p: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if y is None else jscanon.js_hash_of_text(list(x) if x is not None else [], y) for x, y in zip(p, b)], dtype=object)
 
-    return run(params, body)
+    return run.asNondeterministic()(params, body)
 
 
 def universal_hash(code: Column, language: Column) -> Column:
@@ -82,7 +82,7 @@ def universal_hash(code: Column, language: Column) -> Column:
     def run(c: pd.Series, lang: pd.Series) -> pd.Series:
         return pd.Series([one(x, y) for x, y in zip(c, lang)], dtype=object)
 
-    return run(code, language)
+    return run.asNondeterministic()(code, language)
 
 
 def translation_error(code: Column, wanted: str = "function") -> Column:
