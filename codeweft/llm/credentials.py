@@ -72,7 +72,9 @@ _PLACEHOLDER = re.compile(
     |(?i:.*(?:example|placeholder|redacted|dummy|changeit).*)|(?i:(?:process\.)?env[.(\[].*)|(?i:vault[:./].*)|@.*@|[A-Z][A-Z_]*""",
     re.X | re.S,
 )
-_WORDY = re.compile(r"[a-zA-Z]+(?:[._/ :,][a-zA-Z]+)*[.:!?]?")
+#: Words as people write them, alone, in camel case or joined; letters in a random order of cases aren't.
+_WORD = r"(?:[A-Z]?[a-z]+(?:[A-Z][a-z]{2,})*|[A-Z]+)"
+_WORDY = re.compile(rf"{_WORD}(?:[._/ :,]{_WORD})*[.:!?]?")
 _SYMBOL = re.compile(r"[^A-Za-z\s]")
 
 
@@ -80,14 +82,14 @@ def placeholder(v: str) -> bool:
     return not v or v.lower().strip("<>[]{}()\"' ") in PLACEHOLDER_WORDS or bool(_PLACEHOLDER.fullmatch(v))
 
 
-def looks_secret(v: str, least: int = 6) -> bool:
+def looks_secret(v: str, least: int = 6, named: bool = False) -> bool:
     """A literal that can be a password or key: no sentence, name path, mask or reference."""
     if len(v) < least or placeholder(v) or any(c.isspace() for c in v):
         return False
     if _WORDY.fullmatch(v):
-        mixed = len(v) >= 9 and sum(a.islower() and b.isupper() for a, b in zip(v, v[1:])) >= 3 and v.isalpha()
-        return mixed
-    return bool(_SYMBOL.search(v))
+        # where a name says that this is the secret, inner capitals are enough
+        return named and len(v) >= 8 and v.isalpha() and v[1:] != v[1:].lower() and v != v.upper()
+    return bool(_SYMBOL.search(v)) or len(v) >= 8
 
 
 _HEX = re.compile(r"[0-9a-fA-F]{16,}")
@@ -193,7 +195,7 @@ _SETTING = re.compile(
 )
 _COMMENT = re.compile(r"(?://+|/\*+|(?:^|\s)\#+|^\s*\*|<!--|(?:^|\s)--\s)(?P<t>[^\n]*)", re.M)
 _REMARK = re.compile(
-    r"(?:\b(?:pass(?:word|wd|phrase|wort)?|pwd|kennwort|contrase(?:ñ|n)a|mot de passe|secret|(?:api[ _-]?|access[ _-]?|secret[ _-]?)?(?:key|token)|credentials?)"
+    r"(?:\b(?:pass(?:word|wd|phrase|wort)?|pwd|pw|kennwort|contrase(?:ñ|n)a|mot de passe|secret|(?:api[ _-]?|access[ _-]?|secret[ _-]?)?(?:key|token)|credentials?)"
     r"(?:\s+(?:still|is|was|for\s+\w+\s+is|now|remains|stays))?\s*[:=]?\s+|\b(?:used to be|formerly|previously)\s+)(?P<v>[^\s,;]+)",
     re.I,
 )
@@ -276,7 +278,7 @@ def scan(text: str, depth: int = 0) -> Iterator[Finding]:
             if m.group().split(".")[2]:
                 yield Finding(m.start(), m.end(), "jwt")
     for m in _FORMS.finditer(text):
-        if not placeholder(m.group()) and len(set(m.group()[4:])) > 4:
+        if len(set(m.group()[4:])) > 4 and "EXAMPLE" not in m.group().upper():
             yield Finding(m.start(), m.end(), "token form")
     if " " in text and ("basic " in low or "bearer " in low or "token " in low or "apikey " in low):
         for m in _SCHEME.finditer(text):
@@ -321,7 +323,7 @@ def scan(text: str, depth: int = 0) -> Iterator[Finding]:
         at, said = c.start("t"), c.group("t")
         for m in _REMARK.finditer(said):
             v = m.group("v").rstrip(".)")
-            if looks_secret(v) and (looks_token(v) or any(x.isdigit() for x in v) or re.search(r"[^\w\-./:]", v)):
+            if looks_secret(v) and (looks_token(v) or any(x.isdigit() for x in v) or re.search(r"[^\w\-./:]", v) or v.isalpha()):
                 yield Finding(at + m.start("v"), at + m.start("v") + len(v), "remark")
         for m in _PAIR.finditer(said):
             if looks_secret(m.group("v")):
@@ -340,13 +342,13 @@ def _by_name(text: str) -> Iterator[Finding]:
             continue
         value, end = _joined(text, m)
         bare = value.removeprefix("Bearer ").removeprefix("Basic ")
-        if looks_secret(bare, 4 if m.group("v") == value else 6):
+        if looks_secret(bare, 4 if m.group("v") == value else 6, True):
             yield Finding(m.start("v"), end, "named literal")
     for m in _CONN.finditer(text):
-        if looks_secret(m.group("v"), 4):
+        if not placeholder(m.group("v")):
             yield Finding(m.start("v"), m.end("v"), "connection string")
     for m in _ENV_LINE.finditer(text):
-        if secret_name(m.group("name")) and looks_secret(m.group("v"), 4):
+        if secret_name(m.group("name")) and looks_secret(m.group("v"), 4, True):
             yield Finding(m.start("v"), m.end("v"), "environment line")
     for m in _SETTING.finditer(text):
         v, tail = m.group("v"), m.group("tail").strip()
@@ -366,7 +368,7 @@ def _by_name(text: str) -> Iterator[Finding]:
             continue
         name = m.group("name")
         if secret_name(name.replace(" ", "_")) or name.lower().replace(" ", "") in SECRET_WORDS:
-            if looks_secret(v, 4):
+            if looks_secret(v, 4, remark):
                 yield Finding(m.start("v"), m.end("v"), "setting")
 
 
