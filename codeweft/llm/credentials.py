@@ -342,7 +342,8 @@ def _by_name(text: str) -> Iterator[Finding]:
             continue
         value, end = _joined(text, m)
         bare = value.removeprefix("Bearer ").removeprefix("Basic ")
-        if looks_secret(bare, 4 if m.group("v") == value else 6, True):
+        joined = m.group("v") != value and re.fullmatch(r"[\w+/=.\-]{12,}", value)  # nobody puts a placeholder together
+        if joined or looks_secret(bare, 4, True):
             yield Finding(m.start("v"), end, "named literal")
     for m in _CONN.finditer(text):
         if not placeholder(m.group("v")):
