@@ -108,6 +108,8 @@ def test_layouts():
     assert mini.canonical_lines >= mini.lines * handwritten.EXPANSION and mini.closed_gaps >= mini.gaps * handwritten.TIGHT
     assert handwritten.layout(TABLE).uniform
     assert handwritten.layout('{\n  return "' + "aB3+" * 100 + '";\n}').data_chars
+    assert handwritten.layout('{\n  const t = "' + "aB3+" * 100 + '";\n  return t;\n}').data_chars
+    assert not handwritten.layout('{\n  const key = "' + "aB3+" * 100 + '";\n  return 90;\n}').data_chars
     assert handwritten.layout("").lines == 0
     assert not handwritten.layout("{ return a; }").closed_gaps
     assert handwritten.layout("{\n /* @generated from a.schema */\n}").tool_remark
