@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.llm import credentials, handwritten, history, mixing, pysyntax, setjoin, splitting, tokens
-from codeweft.session import table
+from codeweft.session import spread, table
+
+
+def _texts(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table whose texts are parsed or encoded; small files are spread over all cores."""
+    return spread(table(spark, d, name).select(*columns))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    # documents holds one row per doc_id, so nothing has to be shuffled.
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    # documents holds one row per doc_id, so no text has to meet another.
+    docs = _texts(spark, d, "documents", "doc_id", "text")
     return tokens.encode_table(docs, "doc_id", "text")
 
 
@@ -35,7 +40,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def _p2(spark: SparkSession, d: str) -> DataFrame:
     parts = [("extract_all_functions", "fn_id", "body_src"), ("ai_pack_store", "store_id", "original_src")]
     found = [
-        credentials.find_credentials(table(spark, d, t), i, c).select(
+        credentials.find_credentials(_texts(spark, d, t, i, c), i, c).select(
             F.lit(t).alias("src_table"), F.col(i).alias("row_id"), "line_no", "kind"
         )
         for t, i, c in parts
@@ -60,16 +65,19 @@ def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_P3 = ("fn_id", "repo", "rel_file", "body_src")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_reasons(spark, d).select("repo", "rel_file")
 
 
 def p3_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return handwritten.not_handwritten(table(spark, d, "extract_all_functions"), table(spark, d, "vendor_catalog"))
+    return handwritten.not_handwritten(_texts(spark, d, "extract_all_functions", *_P3), table(spark, d, "vendor_catalog"))
 
 
 def p3_handwritten(spark: SparkSession, d: str) -> DataFrame:
-    return handwritten.handwritten_rows(table(spark, d, "extract_all_functions"), table(spark, d, "vendor_catalog"))
+    return handwritten.handwritten_rows(_texts(spark, d, "extract_all_functions", *_P3), table(spark, d, "vendor_catalog"))
 
 
 NEAR_REPEAT = 0.8
@@ -90,25 +98,25 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_kinds(spark: SparkSession, d: str) -> DataFrame:
-    return pysyntax.broken_files(table(spark, d, "ai_pack_store"), "repo", "file", "python_src")
+    return pysyntax.broken_files(_texts(spark, d, "ai_pack_store", "repo", "file", "python_src"), "repo", "file", "python_src")
 
 
 def p7_rates_repo(spark: SparkSession, d: str) -> DataFrame:
-    return pysyntax.broken_rates(table(spark, d, "ai_pack_store"), "repo", "file", "python_src", ["repo"])
+    return pysyntax.broken_rates(_texts(spark, d, "ai_pack_store", "repo", "file", "python_src"), "repo", "file", "python_src", ["repo"])
 
 
 def p7_rates_lang(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "ai_pack_store").withColumn("language", F.coalesce(F.lower("lang"), F.lit("unknown")))
+    rows = _texts(spark, d, "ai_pack_store", "repo", "file", "lang", "python_src").withColumn("language", F.coalesce(F.lower("lang"), F.lit("unknown")))
     return pysyntax.broken_rates(rows, "repo", "file", "python_src", ["language"])
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    chosen, _ = mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), "doc_id", "text", "source")
+    chosen, _ = mixing.mix(_texts(spark, d, "documents", "doc_id", "text", "source"), table(spark, d, "mix_targets"), "doc_id", "text", "source")
     return chosen
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    _, report = mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), "doc_id", "text", "source")
+    _, report = mixing.mix(_texts(spark, d, "documents", "doc_id", "text", "source"), table(spark, d, "mix_targets"), "doc_id", "text", "source")
     return report
 
 
@@ -116,7 +124,7 @@ PIECE_TOKENS, PIECE_OVERLAP = 512, 64
 
 
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.split_texts(table(spark, d, "documents"), "doc_id", "text", PIECE_TOKENS, PIECE_OVERLAP)
+    return splitting.split_texts(_texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text", PIECE_TOKENS, PIECE_OVERLAP)
 
 
 QUERIES = {
