@@ -22,7 +22,7 @@ from codeweft.session import cut
 
 BITS = 512
 FILTER_BITS = 128
-RECALL = 0.9999
+RECALL = 0.99999
 _SEED = 20240607
 
 
@@ -117,7 +117,7 @@ def similar_sets(sets: DataFrame, threshold: float, recall: float = RECALL) -> D
     width, count = plan_segments(n, jaccard, recall)
     hashed = sets.select("set_id", F.transform("items", lambda x: F.xxhash64(x)).alias("hashes"))
     rows = hashed.mapInArrow(_sketcher(width, count), "key long, set_id long, c0 long, c1 long")
-    within = radius(FILTER_BITS, jaccard, 1 - (1 - recall) / 100)  # the filter loses far less than the segments do
+    within = radius(FILTER_BITS, jaccard, recall)
     a, b = rows.alias("a"), rows.alias("b")
     distance = F.bit_count(F.col("a.c0").bitwiseXOR(F.col("b.c0"))) + F.bit_count(F.col("a.c1").bitwiseXOR(F.col("b.c1")))
     near = (
