@@ -22,7 +22,7 @@ from codeweft.session import cut
 
 BITS = 512
 FILTER_BITS = 128
-RECALL = 0.99999
+RECALL = 0.9999
 _SEED = 20240607
 
 
@@ -42,11 +42,22 @@ def radius(bits: int, jaccard: float, recall: float) -> int:
     return bits
 
 
+def expected_recall(width: int, count: int, jaccard: float) -> float:
+    """Share of pairs of this similarity that agree in at least one segment, over the distribution of their distance."""
+    p, q, total, weight = (1 - jaccard) / 2, (1 + jaccard) / 2, 0.0, ((1 + jaccard) / 2) ** BITS
+    for d in range(BITS + 1):
+        total += weight * (1 - (1 - ((BITS - d) / BITS) ** width) ** count)
+        weight *= (BITS - d) / (d + 1) * p / q
+    return total
+
+
 def plan_segments(n_sets: int, jaccard: float, recall: float) -> tuple[int, int]:
     """Bits of a segment and number of segments."""
     width = max(8, min(40, round(math.log2(max(2, n_sets)) - 3.5)))
-    agree = ((1 + jaccard) / 2) ** width
-    return width, math.ceil(math.log(1 - recall) / math.log(1 - agree))
+    count = 8
+    while expected_recall(width, count, jaccard) < recall:
+        count += max(1, count // 16)
+    return width, count
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
