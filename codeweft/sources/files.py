@@ -90,11 +90,15 @@ def prune_directories(df: DataFrame, path: str, names: list[str], hidden: bool =
     return df.filter(~F.coalesce(bad, F.lit(False)))
 
 
-def index_files(df: DataFrame, path: str) -> DataFrame:
-    """Python files as the resident index sees them, with indexed: false for tests and tool files, which still count as scanned."""
+def index_files(df: DataFrame, path: str, skipped: tuple[str, ...] = ("test_",)) -> DataFrame:
+    """Python files as the resident index sees them, with indexed: false for names that begin in one of the skipped ways
+    (tests, the tool's own files), which still count as scanned."""
     kept = prune_directories(df, path, INDEX_PRUNED, hidden=False).filter(F.col(path).endswith(".py"))
     name = F.element_at(F.split(path, "/"), -1)
-    return kept.withColumn("indexed", ~(name.startswith("test_") | name.startswith("sir_") | (name == "sir1.py")))
+    skip = F.lit(False)
+    for prefix in skipped:
+        skip = skip | name.startswith(prefix)
+    return kept.withColumn("indexed", ~skip)
 
 
 def remote_listing(df: DataFrame, extensions: list[str]) -> DataFrame:
