@@ -146,11 +146,14 @@ def split_spans(texts: list[str | None], limit: int, overlap: int, ids) -> list[
         return out
     ends, c, lv, fi, la, ow = (np.concatenate(x) for x in (ends_of, cum, levels, first, last, owner))
     succ, start = successors(c, lv, fi, la, inner, overlap)
+    before = -1
     for b in np.flatnonzero(reached(succ, np.unique(fi))).tolist():
         if b == la[b]:
             continue
         i = int(ow[b])
-        a, z = (b if b == fi[b] else int(start[b])), int(succ[b])
+        # behind a piece no longer than the overlap the next one still starts later
+        a, z = (b if b == fi[b] else max(int(start[b]), before + 1)), int(succ[b])
+        before = a
         piece = texts[i][ends[a] : ends[z]]
         if plain[i] and z - a > 1:
             # whole lines inside keep their tokens; the first lost its feed to the piece before, the last has one more
