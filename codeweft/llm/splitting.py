@@ -1,7 +1,8 @@
 """Cutting oversized texts at natural boundaries, with overlap, by pointer doubling.
 
-A text is a sequence of atoms: lines, in long lines words, and in words above the limit characters; each boundary has
-the level of what ends there, a cue, a line, a sentence or a word. Token counts add up over lines, for the tokenizer's
+A text is a sequence of atoms: lines, in long lines words, and in long words tokens that end where characters do; each
+boundary has the level of what ends there, a cue, a line, a sentence or a word. Runs without spaces have sentences and
+words too, by their marks and changes of script. Token counts add up over lines, for the tokenizer's
 splits end where lines do. Every boundary is joined to its farthest legal successor, the best boundary within the limit, counting the
 overlap that the next piece starts with. The successor table is squared until all greedy cuts of all texts of a batch
 are marked, without walking any text from its start.
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,31 +26,73 @@ CHAR, WORD, SENTENCE, LINE, CUE = range(5)
 #: A cut at a higher level is preferred if the piece still has this share of the limit.
 FILL = 0.5
 _WORDS = re.compile(r"\s*\S+|\s+")
-_SENTENCE_END = re.compile(r"[.!?…。！？؟]+[\"'»”’)\]]*\s*$")
-#: Lines above this share of the limit are taken apart into words.
+_CLOSERS = r"[\"'»”’)\]」』）】》〉]*"
+_SENTENCE_END = re.compile(rf"[.!?…。！？؟．｡۔।]+{_CLOSERS}\s*$")
+#: Inside a run, marks that abbreviations, numbers and addresses hold too count only beside a character beyond ASCII.
+_RUN_SENTENCE_END = re.compile(rf"(?:[…。！？؟．｡۔।][.!?…。！？؟．｡۔।]*|(?<=[^\x00-\x7f])[.!?]+|[.!?]+(?=[\"')\]]*[^\x00-\x7f])){_CLOSERS}")
+#: Words of a run without spaces, with the openers before and the marks behind; hiragana ends the word before it.
+_PARTS = regex.compile(
+    r"[\p{Ps}\p{Pi}]*(?:[\p{Han}々〆]+\p{Hiragana}*|\p{Hiragana}+|[\p{Katakana}ー]+|\p{Hangul}+"
+    r"|(?:(?![\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}ー])[\p{L}\p{M}\p{N}_]|(?<=\p{L})['’](?=\p{L}))+|.)[^\s\p{L}\p{N}\p{Ps}\p{Pi}_]*",
+    regex.S,
+)
+#: Spaces to Python, but not to every tokenizer.
+_SEPARATORS = re.compile(r"[\x1c-\x1f]")
+#: Lines and words above this share of the limit are taken apart.
 LONG_LINE = 0.25
 
 
-def _inside(line: str, limit: int, ids) -> list[tuple[int, int, int]]:
-    """Word ends of a long line with level and an upper bound of tokens; words above the limit as characters."""
+def _run(run: str, limit: int, ids) -> list[tuple[int, int, int]]:
+    """Boundaries inside a long run with level and tokens.
+
+    They lie where a token and a character end together: a token sequence cut between tokens is encoded to the same
+    tokens again, so sizes add up. Beside an apostrophe the split pattern may see another split, and behind a leading
+    space the space would be one of its own. Where that leaves a part above the limit, all characters count by bytes.
+    """
+    ends = np.cumsum([len(c.encode("utf-8", "replace")) for c in run])
+    table = tokens.byte_lengths(ids)
+    toks = np.cumsum(table[np.frombuffer(tokens.encode_bytes(run, ids), dtype=np.int32)])
+    at, size = np.arange(1, len(run) + 1), np.diff(ends, prepend=0)
+    if len(toks) and toks[-1] == ends[-1] and not _SEPARATORS.search(run):
+        fits = np.isin(ends, toks)
+        for i in [i for i, c in enumerate(run) if c == "'"]:
+            fits[max(0, i - 1) : i + 2] = False
+        fits[0] &= not run[0].isspace() or run.isspace()
+        fits[-1] = True
+        good = at[fits]
+        n = np.diff(np.searchsorted(toks, ends[fits], side="right"), prepend=0)
+        if not ((n > limit) & (np.diff(good, prepend=0) > 1)).any():
+            at, size = good, n
+    levels = np.full(len(run) + 1, CHAR, dtype=np.int8)
+    if not run.isspace():
+        levels[[m.end() for m in _PARTS.finditer(run)]] = WORD
+        levels[[m.end() for m in _RUN_SENTENCE_END.finditer(run)]] = SENTENCE
+    return list(zip(at.tolist(), levels[at].tolist(), size.tolist()))
+
+
+def _inside(line: str, limit: int, fine: float, ids) -> list[tuple[int, int, int]]:
+    """Word ends of a long line with level and an upper bound of tokens; words above fine are taken apart."""
     out = []
     for m in _WORDS.finditer(line):
         word = m.group()
         bare = word.lstrip()
-        space = len(word[: len(word) - len(bare)].encode("utf-8", "replace"))
-        size = max(0, space - 1) + (len(tokens.encode_bytes(word[len(word) - len(bare) - 1 :] if space else bare, ids)) // 4 if bare else 1)
+        gap = len(word) - len(bare)
+        space = len(word[:gap].encode("utf-8", "replace"))
+        size = max(0, space - 1) + (len(tokens.encode_bytes(word[gap - 1 :] if space else bare, ids)) // 4 if bare else 1)
         level = SENTENCE if _SENTENCE_END.search(word) else WORD
-        if size <= limit:
+        if size <= fine:
             out.append((m.end(), level, size))
         else:
-            out += [(m.start() + i + 1, CHAR, len(c.encode("utf-8", "replace"))) for i, c in enumerate(word)]
+            cut = max(0, gap - 1)  # the last space is split off by what follows
+            for at, part in ((0, word[:cut]), (cut, word[cut:])):
+                out += [(m.start() + at + e, lv, k) for e, lv, k in (_run(part, limit, ids) if part else [])]
             out[-1] = (m.end(), level, out[-1][2])
     return out
 
 
-def atoms(text: str, limit: int, ids) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, bool]:
+def atoms(text: str, limit: int, fine: float, ids) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, bool]:
     """End offsets of the atoms, the level of the boundary behind each, their tokens, the text's tokens, and whether
-    all atoms are lines. A line's feed belongs to it, so that a cut comes behind it."""
+    all atoms are lines. Lines above fine tokens are taken apart. A line's feed belongs to it, so that a cut comes behind it."""
     lines = tokens.segments(text)
     sizes = [len(x) // 4 for x in map(ids.__getitem__, lines)]
     whole = sum(sizes)
@@ -58,15 +102,15 @@ def atoms(text: str, limit: int, ids) -> tuple[np.ndarray, np.ndarray, np.ndarra
     ends[:-1] += 1
     levels = np.array([CUE if x[-1:] in "\r\n" and x.rstrip("\r") != x.rstrip() else LINE for x in lines], dtype=np.int8)
     size = np.array(sizes, dtype=np.int64)
-    if size.max() <= limit * LONG_LINE:
+    if size.max() <= fine:
         return ends, levels, size, whole, True
     rows: list[tuple[int, int, int]] = []
     start = 0
     for end, level, n in zip(ends.tolist(), levels.tolist(), sizes):
-        if n <= limit * LONG_LINE:
+        if n <= fine:
             rows.append((end, level, n))
         else:
-            inner = _inside(text[start:end], limit, ids)
+            inner = _inside(text[start:end], limit, fine, ids)
             rows += [(start + e, lv, k) for e, lv, k in inner]
             rows[-1] = (end, level, rows[-1][2])
         start = end
@@ -126,10 +170,11 @@ def split_spans(texts: list[str | None], limit: int, overlap: int, ids) -> list[
     ends_of, cum, levels, first, last, owner, plain = [], [], [], [], [], [], {}
     base, total = 0, 0
     inner = max(1, limit - 1)  # a feed at the end of a piece can take a token more than inside
+    fine = max(1, inner * LONG_LINE)
     for i, text in enumerate(texts):
         if not text:
             continue
-        ends, lv, size, whole, plain[i] = atoms(text, inner, ids)
+        ends, lv, size, whole, plain[i] = atoms(text, inner, fine, ids)
         if not len(ends):
             out[i] = [(0, len(text), whole)]
             continue

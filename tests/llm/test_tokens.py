@@ -91,6 +91,27 @@ def test_natural_boundaries(ids):
     assert all(prose[:z].endswith((". ", ".")) for _, z, _ in splitting.split_spans([prose], 50, 0, ids)[0])
 
 
+@pytest.mark.parametrize("end", ["。", "！", "?", "。」"])
+def test_sentences_without_spaces(ids, end):
+    text = "".join(f"我们今天讨论{'数据系统的问题' * (i % 3 + 1)}和framework{i}的用法{end}" for i in range(120))
+    spans = splitting.split_spans([text], 512, 0, ids)[0]
+    spans_hold(text, spans, 512, 0, ids)
+    assert len(spans) > 3 and all(text[:z].endswith(end) for _, z, _ in spans)
+    assert min(k for _, _, k in spans[:-1]) > 256
+
+
+def test_words_without_spaces(ids):
+    text = "".join(f"数据系统framework{i}的用法" for i in range(300))
+    spans = splitting.split_spans([text], 200, 0, ids)[0]
+    spans_hold(text, spans, 200, 0, ids)
+    assert not any((text[z - 1] + text[z]).isascii() for _, z, _ in spans[:-1])
+    assert min(k for _, _, k in spans[:-1]) > 150  # tokens, not bytes, fill a piece
+    text = "数据系统的问题" * 400
+    spans = splitting.split_spans([text], 200, 0, ids)[0]
+    spans_hold(text, spans, 200, 0, ids)
+    assert min(k for _, _, k in spans[:-1]) > 190
+
+
 def test_pointer_doubling_marks_paths():
     succ = np.array([2, 2, 5, 4, 5, 5, 8, 8, 8])
     assert np.flatnonzero(splitting.reached(succ, np.array([0, 6]))).tolist() == [0, 2, 5, 6, 8]
