@@ -23,7 +23,7 @@ from codeweft.llm import tokens
 
 #: Levels of a boundary, from none to the end of a cue.
 CHAR, WORD, SENTENCE, LINE, CUE = range(5)
-#: A cut at a higher level is preferred if the piece still has this share of the limit.
+#: A cut or start at a higher level is preferred if the piece still has this share of the limit, or of the overlap.
 FILL = 0.5
 _WORDS = re.compile(r"\s*\S+|\s+")
 _CLOSERS = r"[\"'»”’)\]」』）】》〉]*"
@@ -38,10 +38,13 @@ _PARTS = regex.compile(
 )
 #: Spaces to Python, but not to every tokenizer.
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
-#: Lines and words above this share of the limit are taken apart.
+#: Lines and words above this share of the limit, or above FILL of the overlap, are taken apart.
 LONG_LINE = 0.25
 
 
+_BYTE_LENGTHS: dict[int, np.ndarray] = {}
+
+
 def _run(run: str, limit: int, ids) -> list[tuple[int, int, int]]:
     """Boundaries inside a long run with level and tokens.
 
@@ -50,8 +53,9 @@ def _run(run: str, limit: int, ids) -> list[tuple[int, int, int]]:
     space the space would be one of its own. Where that leaves a part above the limit, all characters count by bytes.
     """
     ends = np.cumsum([len(c.encode("utf-8", "replace")) for c in run])
-    table = tokens.byte_lengths(ids)
-    toks = np.cumsum(table[np.frombuffer(tokens.encode_bytes(run, ids), dtype=np.int32)])
+    if id(ids) not in _BYTE_LENGTHS:
+        _BYTE_LENGTHS[id(ids)] = tokens.byte_lengths(ids)
+    toks = np.cumsum(_BYTE_LENGTHS[id(ids)][np.frombuffer(tokens.encode_bytes(run, ids), dtype=np.int32)])
     at, size = np.arange(1, len(run) + 1), np.diff(ends, prepend=0)
     if len(toks) and toks[-1] == ends[-1] and not _SEPARATORS.search(run):
         fits = np.isin(ends, toks)
@@ -78,7 +82,7 @@ def _inside(line: str, limit: int, fine: float, ids) -> list[tuple[int, int, int
         bare = word.lstrip()
         gap = len(word) - len(bare)
         space = len(word[:gap].encode("utf-8", "replace"))
-        size = max(0, space - 1) + (len(tokens.encode_bytes(word[gap - 1 :] if space else bare, ids)) // 4 if bare else 1)
+        size = max(0, space - 1) + (len(ids[word[gap - 1 :] if space else bare]) // 4 if bare else 1)
         level = SENTENCE if _SENTENCE_END.search(word) else WORD
         if size <= fine:
             out.append((m.end(), level, size))
@@ -123,13 +127,18 @@ def successors(cum: np.ndarray, levels: np.ndarray, first: np.ndarray, last: np.
 
     Boundaries of all texts lie in one array; cum: tokens before each boundary, growing over all texts; first and last:
     the boundary before and behind each boundary's text. A piece starts overlap tokens before the last cut, at the
-    nearest boundary inside, and ends at the boundary of the highest level that leaves it at least FILL of the limit,
+    nearest line end inside that leaves FILL of the overlap, else sentence end, else word end, else boundary, and ends at the boundary of the highest level that leaves it at least FILL of the limit,
     the farthest of these, else at the farthest of all. The last boundary of a text is its own successor.
     """
     n = len(cum)
     here = np.arange(n)
-    start = np.searchsorted(cum, cum - overlap, side="left")
-    start = np.clip(start, first, here)
+    nearest = np.clip(np.searchsorted(cum, cum - overlap, side="left"), first, here)
+    start, chosen = nearest.copy(), np.zeros(n, dtype=bool)
+    for level in range(LINE, CHAR, -1):
+        later = np.minimum.accumulate(np.where(levels >= level, here, n - 1)[::-1])[::-1][nearest]
+        good = ~chosen & (later < here) & (cum - cum[np.minimum(later, here)] >= int(overlap * FILL))
+        start[good] = later[good]
+        chosen |= good
     start = np.where(here == first, here, start)
     far = np.searchsorted(cum, cum[start] + limit, side="right") - 1
     far = np.minimum(np.maximum(far, here + 1), last)
@@ -170,7 +179,8 @@ def split_spans(texts: list[str | None], limit: int, overlap: int, ids) -> list[
     ends_of, cum, levels, first, last, owner, plain = [], [], [], [], [], [], {}
     base, total = 0, 0
     inner = max(1, limit - 1)  # a feed at the end of a piece can take a token more than inside
-    fine = max(1, inner * LONG_LINE)
+    # a boundary is never farther from the next than the overlap must reach, except in indivisible characters
+    fine = max(1, min(inner * LONG_LINE, overlap * FILL) if overlap else inner * LONG_LINE)
     for i, text in enumerate(texts):
         if not text:
             continue
@@ -220,7 +230,8 @@ def split_texts(df: DataFrame, key: str, text: str, limit: int, overlap: int, na
     """(key, piece_no int from 0, text, n_tokens long) of every row.
 
     Every piece has at most limit tokens, except that a single character may have more where limit is below its own
-    number. Joined without overlaps the pieces are the text. Texts within the limit are one piece; null and empty texts
+    number. Neighbours share at most overlap tokens and at least half of that, as far as characters can be told apart;
+    behind a piece no longer than the overlap it may be less. Joined without overlaps the pieces are the text. Texts within the limit are one piece; null and empty texts
     give no row; repeated rows are cut each. Whole texts are cut, of any length.
     """
     if not 0 <= overlap < limit:

@@ -112,6 +112,16 @@ def test_words_without_spaces(ids):
     assert min(k for _, _, k in spans[:-1]) > 190
 
 
+@pytest.mark.parametrize("unit", ["数据系统的问题", "我们今天讨论数据系统的问题。", "Слово за слово и так далее, ", "plain words without any mark ", "several words in one line that is long enough to hold more than sixty four tokens " * 5 + "of the overlap\n", "数据系统的问题" * 8 + " ", "x1Y2", "one short line\n"])
+def test_overlap_is_kept(ids, unit):
+    text = unit * (12000 // len(unit))
+    spans = splitting.split_spans([text], 512, 64, ids)[0]
+    spans_hold(text, spans, 512, 64, ids)
+    assert len(spans) > 2
+    for (_, b, _), (c, _, _) in zip(spans, spans[1:]):
+        assert len(whole(ids, text[c:b])) >= 31
+
+
 def test_pointer_doubling_marks_paths():
     succ = np.array([2, 2, 5, 4, 5, 5, 8, 8, 8])
     assert np.flatnonzero(splitting.reached(succ, np.array([0, 6]))).tolist() == [0, 2, 5, 6, 8]
