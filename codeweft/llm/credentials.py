@@ -202,7 +202,14 @@ _REMARK = re.compile(
 _PAIR = re.compile(
     r"\b(?:log[ -]?in|account|access|credentials?|creds|sign[ -]?in|user)\b[^:\n]{0,40}:\s*(?P<u>[\w.@\-]+)\s*(?:/|:|\|)\s*(?P<v>[^\s,;]+)", re.I
 )
-_RUN = re.compile(r"[A-Za-z0-9+/_\-]{24,}={0,2}")
+#: The shortest encoded text: eight bytes, the least that a decoded layer is scanned from.
+_RUN = re.compile(r"[A-Za-z0-9+/_\-]{11,}={0,2}")
+#: Parts of an encoded literal that is written over several lines or put together from several literals.
+_GLUE = r"""(?:\\*["'`](?:[ \t]*[+.]?[ \t]*\\?\r?\n[ \t]*[+.]?[ \t]*|[ \t]*[+.][ \t]*|[ \t]+)\\*["'`]|(?:\\[rn]|\\?\r?\n[ \t]*)+)"""
+_CHAIN = re.compile(rf"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]++(?:{_GLUE}[A-Za-z0-9+/_\-]++)+={{0,2}}")
+_GLUED = re.compile(_GLUE)
+#: First characters of hex, and of base64 whose first byte begins a printable text or a key container.
+_FIRST = frozenset("ABCDEFIJKLMNOPQRSTUVWXYZabcdefwxyz0123456789")
 _ESCAPED = re.compile(r"(?:\\x[0-9a-fA-F]{2}|\\u00[0-9a-fA-F]{2}|\\[0-7]{3}){6,}")
 _PERCENT = re.compile(r"(?:[\w.\-~+/:=@!]*%[0-9a-fA-F]{2}){4,}[\w.\-~+/:=@!]*")
 #: Word parts without which a group of rules can't apply, so that most texts are passed over quickly.
@@ -231,21 +238,39 @@ def _decodings(run: str) -> Iterator[bytes]:
             pass
 
 
+def _runs(text: str) -> Iterator[tuple[int, int, str]]:
+    """Start, end and value of runs that can be encoded, alone and joined; a name may stand before or behind joined ones."""
+    for m in _RUN.finditer(text):
+        if text[m.start()] in _FIRST:
+            yield m.start(), m.end(), m.group()
+    for m in _CHAIN.finditer(text):
+        if m.end() - m.start() < 12:
+            continue
+        links, at = [], m.start()
+        for g in _GLUED.finditer(text, m.start(), m.end()):
+            links.append((at, g.start()))
+            at = g.end()
+        links.append((at, m.end()))
+        for part in (links, links[1:], links[:-1], links[1:-1]):
+            if len(part) > 1 and text[part[0][0]] in _FIRST:
+                yield part[0][0], part[-1][1], "".join(text[a:z] for a, z in part)
+
+
 def _nested(text: str, depth: int) -> Iterator[Finding]:
     """Encoded literals whose decoded layer holds a credential."""
     if depth >= DEPTH:
         return
-    for m in _RUN.finditer(text):
-        run = m.group()
-        if run.isalpha() or run.startswith("eyJ"):
+    signed = [m.span() for m in _JWT.finditer(text)] if "eyJ" in text else []
+    for start, end, run in _runs(text):
+        if any(a < end and start < z for a, z in signed):
             continue
         for data in _decodings(run):
             if kind := private_container(data):
-                yield Finding(m.start(), m.end(), f"container:{kind}")
+                yield Finding(start, end, f"container:{kind}")
                 break
             inner = _printable(data)
             if inner and len(inner) >= 8 and any(True for _ in scan(inner, depth + 1)):
-                yield Finding(m.start(), m.end(), "encoded")
+                yield Finding(start, end, "encoded")
                 break
     for rx, decode in ((_ESCAPED, lambda s: s.encode().decode("unicode_escape", "ignore")), (_PERCENT, unquote)):
         for m in rx.finditer(text):

@@ -77,6 +77,29 @@ def test_credentials_found(text, lines):
     assert len(hidden) == len(text) and hidden.count("\n") == text.count("\n") and credentials.findings(hidden) == []
 
 
+def _b64(text):
+    return base64.b64encode(text.encode()).decode()
+
+
+ENCODED = [
+    'cfg = load("' + _b64('{"password":"kQ29!xzp77"}') + '")',
+    'cfg = load("' + _b64('{"auths":{"hub.local":{"auth":"' + _b64("svc_a:Wheel#93x!k") + '"}}}') + '")',
+    'cfg = load("' + _b64(_b64('{"password":"kQ29!xzp77"}')) + '")',
+    'send("' + _b64("bob:Wh#93x!k") + '")',
+    'send("' + LOGIN[:10] + '" +\n  "' + LOGIN[10:] + '")',
+    "send('" + LOGIN[:9] + "' + '" + LOGIN[9:] + "')",
+    "cfg = `\n  " + LOGIN[:8] + "\n  " + LOGIN[8:] + "\n`",
+]
+
+
+@pytest.mark.parametrize("text", ENCODED)
+def test_encoded_literals(text):
+    found = credentials.findings(text)
+    assert len(found) == 1
+    hidden = credentials.blank(text, found)
+    assert len(hidden) == len(text) and hidden.count("\n") == text.count("\n") and credentials.findings(hidden) == []
+
+
 @pytest.mark.parametrize("text", NOT_FOUND)
 def test_harmless(text):
     assert credentials.findings(text) == []
