@@ -154,7 +154,7 @@ def private_container(data: bytes) -> str | None:
 # --- rules --------------------------------------------------------------------------------------------------------
 
 _Q = r"""\\*["'`]"""
-_STR = r"""(?P<q>\\*["'`])(?P<v>(?:(?!(?P=q)).){0,4000}?)(?P=q)"""
+_STR = r"""(?P<q>\\*["'`])(?P<v>(?:(?!(?P=q)).)*?)(?P=q)"""
 _PEM = re.compile(r"-----BEGIN (?P<what>[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----(?P<body>.*?)(?:-----END (?P=what)-----|[\"'`]|$)", re.S)
 _JWT = re.compile(r"\beyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{4,}\.[A-Za-z0-9_\-]*")
 #: Forms of widely used tokens.

@@ -92,6 +92,12 @@ ENCODED = [
 ]
 
 
+def test_long_literal():
+    value = "kQ29!xzp" * 700
+    text = f'password = "{value}"; y = 1'
+    assert [(f.start, f.end) for f in credentials.findings(text)] == [(12, 12 + len(value))]
+
+
 @pytest.mark.parametrize("text", ENCODED)
 def test_encoded_literals(text):
     found = credentials.findings(text)
