@@ -245,6 +245,19 @@ def test_kinds_of_damage():
     assert pysyntax.damage("x = = 1\n" + ok).lines == (1,)
 
 
+def test_long_parts_are_repaired():
+    ok = "".join(f"def f{i}(a):\n    return a + {i}\n" for i in range(60))
+    assert pysyntax.damage(ok + "def g():\n") == (1, (121,), "truncation")
+    assert pysyntax.damage("x = [" + ", ".join(["1"] * 60) + ", 2 3]\n").cost == 1
+
+
+def test_cost_does_not_depend_on_texts_met_before():
+    text = "".join(f"x{'.a' * i} = = 1\n" for i in range(7))
+    pysyntax._COSTS.clear()
+    first = pysyntax.damage(text)
+    assert first == pysyntax.damage(text) and first.cost == 7
+
+
 def test_source_tables(spark):
     df = spark.createDataFrame([("r", "a", "x = 1", 1), ("r", "a", "x = ", 1), ("r", "b", None, 1), ("r", "c", "", 1), ("s", "d", "def f(", 1), ("s", "d", "def f(", 2)], "repo string, file string, t string, cost int")
     assert sorted((r.repo, r.file) for r in pysyntax.broken_files(df, "repo", "file", "t").collect()) == [("r", "a"), ("s", "d")]
