@@ -9,6 +9,7 @@ and only they are brought together per file.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -151,27 +152,33 @@ def layout(text: str) -> Layout:
 
 
 class LibraryIndex:
-    """Token multisets of known library functions, found by the rarer of their words. Built from a catalogue of fixed size."""
+    """Token multisets of known library functions, found by their prefixes. Built from a catalogue of fixed size.
 
-    def __init__(self, bodies: list[str | None]):
+    A multiset that is alike shares at least that part of a known one's tokens, so it holds one of any prefix that is
+    longer than the rest allowed to be missing; prefixes are the tokens that are rarest in the catalogue. Layout and
+    common words alone are no copy: of an entry with long words one must be shared.
+    """
+
+    def __init__(self, bodies: list[str | None], least: float = ALIKE):
+        self.least = least
         self.known = [c for b in bodies if b and sum((c := layout(b).tokens).values()) >= 12]
         self.sizes = [sum(c.values()) for c in self.known]
-        self.by_word: dict[str, list[int]] = defaultdict(list)
+        self.long = [{t for t in c if len(t) > 6 and t[0].isalpha()} for c in self.known]
+        #: Of each token, the entries that hold its k-th repetition in their prefix.
+        self.by_token: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        often = Counter((t, k) for c in self.known for t, n in c.items() for k in range(n))
         for i, c in enumerate(self.known):
-            for t in c:
-                if len(t) > 6 and t[0].isalpha():
-                    self.by_word[t].append(i)
-
-    def has_like(self, tokens: Counter, least: float = ALIKE) -> bool:
-        n = sum(tokens.values())
-        votes: Counter = Counter()
-        for t in tokens:
-            for i in self.by_word.get(t, ()):
-                votes[i] += 1
-        for i, _ in votes.most_common(8):
-            if min(n, self.sizes[i]) < least * max(n, self.sizes[i]):
+            rare = sorted(((t, k) for t, n in c.items() for k in range(n)), key=lambda x: (often[x], x))
+            for t, k in rare[: self.sizes[i] - math.ceil(least * self.sizes[i]) + 1]:
+                self.by_token[t].append((k, i))
+
+    def has_like(self, tokens: Counter) -> bool:
+        n, least = sum(tokens.values()), self.least
+        near = {i for t, m in tokens.items() for k, i in self.by_token.get(t, ()) if k < m}
+        for i in near:
+            if min(n, self.sizes[i]) < least * max(n, self.sizes[i]) or self.long[i] and self.long[i].isdisjoint(tokens):
                 continue
-            both = sum((tokens & self.known[i]).values())
+            both = sum(min(m, tokens.get(t, 0)) for t, m in self.known[i].items())
             if both >= least * (n + self.sizes[i] - both):
                 return True
         return False

@@ -163,6 +163,15 @@ def test_files(spark):
     assert handwritten.not_handwritten(df.limit(0), catalog).collect() == []
 
 
+def test_all_catalogue_entries_are_compared():
+    texts = [f"function f{i}(a) {{ const default1 = a; return default1{' + b' * (3 * i)}; }}" for i in range(12)]
+    index = handwritten.LibraryIndex(texts)
+    assert all(index.has_like(handwritten.layout(x).tokens) for x in texts)
+    short = ["(a, b) => { if (a > b) { a = b; } c(a); }"]
+    assert handwritten.LibraryIndex(short).has_like(handwritten.layout(short[0]).tokens)
+    assert not handwritten.LibraryIndex(short).has_like(handwritten.layout(texts[5]).tokens)
+
+
 def test_chart():
     g = Grammar("s: 'a' s 'b' | \nlist: 'x' (',' 'x')* ','?")
     assert g.accepts(tuple("aabb"), "s") and not g.accepts(tuple("aab"), "s") and g.accepts((), "s")
