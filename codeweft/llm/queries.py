@@ -23,13 +23,17 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 SIMILAR_CLASSES = 0.75
 
 
-def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
+def _p1(spark: SparkSession, d: str) -> setjoin.SimilarRecords:
     columns = ["class_id", "class_hash", F.col("methods.hash").alias("hashes")]
     rows = (
         table(spark, d, "classes").select(*columns, F.lit(True).alias("is_class"))
         .unionByName(table(spark, d, "class_catalog").select(*columns, F.lit(False).alias("is_class")))
     )
-    pairs = setjoin.similar_records(rows, "class_id", "hashes", "class_hash", SIMILAR_CLASSES, F.col("is_class"))
+    return setjoin.similar_classes(rows, "class_id", "hashes", "class_hash", SIMILAR_CLASSES, F.col("is_class"))
+
+
+def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
+    pairs = setjoin.record_pairs(_p1(spark, d))
     return pairs.select(F.col("id_a").alias("class_id_a"), F.col("id_b").alias("class_id_b"), "similarity")
 
 
@@ -37,6 +41,23 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_pairs(spark, d).select("class_id_a", "class_id_b")
 
 
+def p1_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of distinct sets, each named by the least class that has it."""
+    found = _p1(spark, d)
+    least = found.members.groupBy("set_id").agg(F.min("id").alias("least"))
+    side = lambda t: least.select(F.col("set_id").alias(f"set_{t}"), F.col("least").alias(f"least_{t}")).hint("merge")
+    both = found.pairs.join(side("a"), "set_a").join(side("b"), "set_b")
+    return both.select(F.least("least_a", "least_b").alias("class_id_a"), F.greatest("least_a", "least_b").alias("class_id_b"), "similarity")
+
+
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    """Every class with values: the least class of the same set, and the number of its pairs in p1_pairs."""
+    found = _p1(spark, d)
+    least = found.members.groupBy("set_id").agg(F.min("id").alias("set_class_id"))
+    links = setjoin.record_links(found).join(least.hint("merge"), "set_id")
+    return links.select(F.col("id").alias("class_id"), "set_class_id", "n_links")
+
+
 def _p2(spark: SparkSession, d: str) -> DataFrame:
     parts = [("extract_all_functions", "fn_id", "body_src"), ("ai_pack_store", "store_id", "original_src")]
     found = [
@@ -130,6 +151,8 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_pairs": p1_pairs,
+    "p1_sets": p1_sets,
+    "p1_links": p1_links,
     "p2_found": p2_found,
     "p2_kinds": p2_kinds,
     "p2_redacted": p2_redacted,
@@ -171,7 +194,21 @@ known AS (SELECT hash FROM hash_index WHERE hash IS NOT NULL UNION SELECT sir_sh
 SELECT occ_id FROM s WHERE k * 10 >= 8 * (n - k)
 UNION SELECT occ_id FROM b WHERE hash IN (SELECT hash FROM known)
 UNION SELECT b.occ_id FROM b JOIN b e ON e.hash = b.hash AND (e.batch_no < b.batch_no OR e.batch_no = b.batch_no AND e.occ_id < b.occ_id)"""
+_P1_SETS = """
+WITH c AS (SELECT DISTINCT class_id, list_sort(list_distinct(list_transform(methods, lambda x: x.hash))) AS hs FROM classes
+           UNION SELECT class_id, list_sort(list_distinct(list_transform(methods, lambda x: x.hash))) FROM class_catalog),
+s AS (SELECT min(class_id) AS class_id, hs FROM c WHERE len(hs) > 0 GROUP BY hs)"""
+_P1_LINKS = f"""{_P1_SETS}, p AS ({_P1}),
+w AS (SELECT class_id_a AS class_id FROM p UNION ALL SELECT class_id_b FROM p)
+SELECT c.class_id, s.class_id AS set_class_id, (SELECT count(*) FROM w WHERE w.class_id = c.class_id) AS n_links FROM c JOIN s USING (hs)"""
+_P1_SETS += """,
+m AS (SELECT class_id, len(hs) AS n, unnest(hs) AS h FROM s),
+p AS (SELECT a.class_id AS class_id_a, b.class_id AS class_id_b, count(*) AS k, max(greatest(a.n, b.n)) AS larger
+      FROM m a JOIN m b ON a.h = b.h AND a.class_id < b.class_id GROUP BY 1, 2)
+SELECT class_id_a, class_id_b, k / larger AS similarity FROM p WHERE k * 4 >= larger * 3"""
 SQL: dict[str, str] = {
+    "p1_sets": _P1_SETS,
+    "p1_links": _P1_LINKS,
     "p5_found": _P5,
     "p1_found": f"SELECT class_id_a, class_id_b FROM ({_P1})",
     "p1_pairs": _P1,

@@ -6,12 +6,18 @@ The number of segments follows from the wanted recall at the least J that the th
 segment from the number of sets, so that chance meetings per set and segment stay constant. Meetings outside a Hamming
 radius, set by the same recall, are dropped; the rest is verified on the original sets. Similarity is the number of
 shared values divided by the size of the larger set.
+
+The result is pairs of representatives, one for each distinct set, and a membership of records; pairs of records are
+made from both where they are wanted. All joins are merge joins by hint: how many rows a sketch gives is hidden from
+the planner, and none of the tables has a bound that would allow to send it to every executor. Hot keys are left to
+the splitting of skewed partitions at run time.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +26,10 @@ from pyspark.sql import functions as F
 
 from codeweft.session import cut
 
-BITS = 512
+BITS = 1024
 FILTER_BITS = 128
-RECALL = 0.9999
+#: Of segments and of the filter, each, at the least similarity: less than one link of a million is lost.
+RECALL = 0.999999
 _SEED = 20240607
 
 
@@ -132,12 +139,12 @@ def similar_sets(sets: DataFrame, threshold: float, recall: float = RECALL) -> D
     a, b = rows.alias("a"), rows.alias("b")
     distance = F.bit_count(F.col("a.c0").bitwiseXOR(F.col("b.c0"))) + F.bit_count(F.col("a.c1").bitwiseXOR(F.col("b.c1")))
     near = (
-        a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.set_id") < F.col("b.set_id")) & (distance <= within))
+        a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.set_id") < F.col("b.set_id")) & (distance <= within))
         .select(F.col("a.set_id").alias("set_a"), F.col("b.set_id").alias("set_b"))
         .distinct()
     )
-    with_a = near.join(sets.select(F.col("set_id").alias("set_a"), F.col("items").alias("items_a")), "set_a")
-    both = with_a.join(sets.select(F.col("set_id").alias("set_b"), F.col("items").alias("items_b")), "set_b")
+    with_a = near.join(sets.select(F.col("set_id").alias("set_a"), F.col("items").alias("items_a")).hint("merge"), "set_a")
+    both = with_a.join(sets.select(F.col("set_id").alias("set_b"), F.col("items").alias("items_b")).hint("merge"), "set_b")
     shared = F.size(F.array_intersect("items_a", "items_b"))
     larger = F.greatest(F.size("items_a"), F.size("items_b"))
     return (
@@ -150,36 +157,76 @@ def _set_of(values: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(values, lambda x: x.isNotNull())))
 
 
-def similar_records(
+class SimilarRecords(NamedTuple):
+    """pairs: (set_a, set_b, similarity) of different sets, each set standing for its copies, set_a < set_b. members: (id,
+    set_id, grp, own), one row for each record with values. Records of one set are similar to each other too."""
+
+    pairs: DataFrame
+    members: DataFrame
+
+
+def similar_classes(
     records: DataFrame, record_id: str, values: str, group: str, threshold: float, own: Column | None = None
-) -> DataFrame:
-    """(id_a, id_b, similarity), id_a < id_b, of records whose sets are similar and whose group values differ.
+) -> SimilarRecords:
+    """Pairs of representatives and the membership of records whose sets are similar.
 
     record_id: unique but for repeated rows, which count once. values: array<string> with nulls and repeats, which are
-    ignored; records without values take no part. group: pairs of equal group value (null-safe) are left out, and equal
-    copies of one group are never paired with each other on the way. own: at least one record of a pair must have it
-    true. An empty table gives an empty result; other columns are ignored.
+    ignored; records without values take no part. group, own: kept with the members, for what is made from the result.
+    An empty table gives empty tables; other columns are ignored.
     """
     flag = own if own is not None else F.lit(True)
     sets = _set_of(F.col(values))
     base = records.select(F.col(record_id).alias("id"), F.col(group).alias("grp"), sets.alias("items"), flag.alias("own"))
     base = base.filter(F.size("items") > 0).withColumn("set_id", F.xxhash64("items"))
-    members = cut(base.groupBy("id").agg(F.min(F.struct("set_id", "grp", "own", "items")).alias("m")).select("id", "m.*"))
-    distinct_sets = cut(members.groupBy("set_id").agg(F.min("items").alias("items")))
-    pairs = similar_sets(distinct_sets, threshold).select("set_a", "set_b", "similarity")
+    rows = cut(base.groupBy("id").agg(F.min(F.struct("set_id", "grp", "own", "items")).alias("m")).select("id", "m.*"))
+    distinct_sets = cut(rows.groupBy("set_id").agg(F.min("items").alias("items")))
+    pairs = cut(similar_sets(distinct_sets, threshold).select("set_a", "set_b", "similarity"))
+    return SimilarRecords(pairs, rows.select("id", "set_id", "grp", "own"))
+
+
+def record_pairs(found: SimilarRecords) -> DataFrame:
+    """(id_a, id_b, similarity), id_a < id_b, of similar records of different groups (null-safe), one of them own.
+
+    Copies of one group are never paired with each other on the way.
+    """
+    members = found.members
     # copies: one row for each (set, group), so that members of one group don't meet
     groups = members.groupBy("set_id", "grp").agg(F.max("own").alias("any_own"))
-    side = lambda t: groups.select(F.col("set_id").alias(f"set_{t}"), F.col("grp").alias(f"grp_{t}"), F.col("any_own").alias(f"any_{t}"))
+    side = lambda t: groups.select(F.col("set_id").alias(f"set_{t}"), F.col("grp").alias(f"grp_{t}"), F.col("any_own").alias(f"any_{t}")).hint("merge")
     same = side("a").join(side("b"), F.col("set_a") == F.col("set_b")).filter(
         F.coalesce(F.col("grp_a"), F.lit("")) < F.coalesce(F.col("grp_b"), F.lit(""))
     ).withColumn("similarity", F.lit(1.0))
-    other = pairs.join(side("a"), "set_a").join(side("b"), "set_b").filter(~F.col("grp_a").eqNullSafe(F.col("grp_b")))
+    other = found.pairs.join(side("a"), "set_a").join(side("b"), "set_b").filter(~F.col("grp_a").eqNullSafe(F.col("grp_b")))
     met = same.unionByName(other.select(*same.columns)).filter("any_a or any_b").drop("any_a", "any_b")
     for t in "ab":
-        m = members.select(
-            F.col("set_id").alias(f"set_{t}"), F.col("grp").alias(f"grp_{t}"), F.col("id").alias(f"id_{t}"), F.col("own").alias(f"own_{t}")
-        )
-        met = met.join(m.withColumnRenamed(f"set_{t}", "_s").withColumnRenamed(f"grp_{t}", "_g"), (F.col(f"set_{t}") == F.col("_s")) & F.col(f"grp_{t}").eqNullSafe(F.col("_g"))).drop("_s", "_g")
+        m = members.select(F.col("set_id").alias("_s"), F.col("grp").alias("_g"), F.col("id").alias(f"id_{t}"), F.col("own").alias(f"own_{t}")).hint("merge")
+        met = met.join(m, (F.col(f"set_{t}") == F.col("_s")) & F.col(f"grp_{t}").eqNullSafe(F.col("_g"))).drop("_s", "_g")
     return met.filter("own_a or own_b").select(
         F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "similarity"
     )
+
+
+def record_links(found: SimilarRecords) -> DataFrame:
+    """(id, set_id, n_links long): one row for each record with values, the set that stands for it, and the number of its
+    pairs in record_pairs, counted from sums over sets and groups without making a pair of copies."""
+    own = lambda c: F.sum(F.when(F.col("own"), c).otherwise(0))
+    groups = found.members.groupBy("set_id", "grp").agg(F.count(F.lit(1)).alias("n"), own(F.lit(1)).alias("n_own"))
+    sets = groups.groupBy("set_id").agg(F.sum("n").alias("n"), F.sum("n_own").alias("n_own"))
+    ways = found.pairs.select("set_a", "set_b").unionByName(found.pairs.select(F.col("set_b").alias("set_a"), F.col("set_a").alias("set_b")))
+    ways = ways.unionByName(sets.select(F.col("set_id").alias("set_a"), F.col("set_id").alias("set_b")))
+    there = sets.select(F.col("set_id").alias("set_b"), "n", "n_own").hint("merge")
+    whole = ways.join(there, "set_b").groupBy("set_a").agg(F.sum("n").alias("all_n"), F.sum("n_own").alias("all_own"))
+    # records of the own group among the similar ones are no partners
+    there = groups.select(F.col("set_id").alias("set_b"), F.col("grp").alias("_g"), "n", "n_own").hint("merge")
+    mine = groups.select(F.col("set_id").alias("set_a"), "grp").join(ways.hint("merge"), "set_a")
+    mine = mine.join(there, (mine.set_b == there.set_b) & mine.grp.eqNullSafe(there._g)).groupBy("set_a", "grp").agg(F.sum("n").alias("grp_n"), F.sum("n_own").alias("grp_own"))
+    mine = mine.join(whole.hint("merge"), "set_a").select(F.col("set_a").alias("_s"), F.col("grp").alias("_g"), (F.col("all_n") - F.col("grp_n")).alias("n"), (F.col("all_own") - F.col("grp_own")).alias("n_own"))
+    out = found.members.join(mine.hint("merge"), (F.col("set_id") == F.col("_s")) & F.col("grp").eqNullSafe(F.col("_g")))
+    return out.select("id", "set_id", F.when(F.col("own"), F.col("n")).otherwise(F.col("n_own")).alias("n_links"))
+
+
+def similar_records(
+    records: DataFrame, record_id: str, values: str, group: str, threshold: float, own: Column | None = None
+) -> DataFrame:
+    """record_pairs of similar_classes: (id_a, id_b, similarity) of all pairs of records, copies included."""
+    return record_pairs(similar_classes(records, record_id, values, group, threshold, own))

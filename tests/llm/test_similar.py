@@ -54,6 +54,30 @@ def test_similar_records(spark):
     assert setjoin.similar_records(df.limit(0), "id", "vs", "grp", 0.75).collect() == []
 
 
+def test_links_count_pairs_and_no_join_is_broadcast(spark):
+    rng = random.Random(8)
+    bases = [[f"v{rng.randrange(300)}" for _ in range(rng.randrange(3, 9))] for _ in range(12)]
+    records = []
+    for i in range(150):
+        base = rng.choice(bases)
+        records.append((i, rng.choice(["g1", "g2", None, f"g{i}"]), base if rng.random() < 0.6 else [*base[1:], f"v{rng.randrange(300)}"], rng.random() < 0.7))
+    df = spark.createDataFrame(records, "id long, grp string, vs array<string>, own boolean")
+    from pyspark.sql import functions as F
+
+    found = setjoin.similar_classes(df, "id", "vs", "grp", 0.75, F.col("own"))
+    want = dict.fromkeys((r[0] for r in records), 0)
+    for a, b in brute(records, 0.75):
+        want[a] += 1
+        want[b] += 1
+    assert {r.id: r.n_links for r in setjoin.record_links(found).collect()} == want
+    same = {}
+    for r in found.members.collect():
+        same.setdefault(r.set_id, set()).add(frozenset(records[r.id][2]))
+    assert all(len(s) == 1 for s in same.values()) and found.pairs.filter("set_a >= set_b").count() == 0
+    for out in (setjoin.record_pairs(found), setjoin.record_links(found)):
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_copies_of_one_group_do_not_meet(spark):
     df = spark.createDataFrame([(i, "same", ["a", "b", "c", "d"]) for i in range(300)] + [(900, "other", ["a", "b", "c", "d"])], "id long, grp string, vs array<string>")
     got = setjoin.similar_records(df, "id", "vs", "grp", 0.75)
