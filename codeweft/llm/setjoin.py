@@ -143,14 +143,17 @@ def similar_sets(sets: DataFrame, threshold: float, recall: float = RECALL) -> D
         .select(F.col("a.set_id").alias("set_a"), F.col("b.set_id").alias("set_b"))
         .distinct()
     )
-    with_a = near.join(sets.select(F.col("set_id").alias("set_a"), F.col("items").alias("items_a")).hint("merge"), "set_a")
-    both = with_a.join(sets.select(F.col("set_id").alias("set_b"), F.col("items").alias("items_b")).hint("merge"), "set_b")
-    shared = F.size(F.array_intersect("items_a", "items_b"))
-    larger = F.greatest(F.size("items_a"), F.size("items_b"))
-    return (
-        both.select("set_a", "set_b", shared.alias("n_shared"), (shared / larger).alias("similarity"))
-        .filter(F.col("similarity") >= threshold)
-    )
+    # first by 64-bit hashes of the values, which can only count too many shared ones; what remains by the values
+    likely = _verified(near, hashed.withColumnRenamed("hashes", "values"), threshold)
+    return _verified(likely.select("set_a", "set_b"), sets.withColumnRenamed("items", "values"), threshold)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    for t in "ab":
+        pairs = pairs.join(sets.select(F.col("set_id").alias(f"set_{t}"), F.col("values").alias(f"values_{t}")).hint("merge"), f"set_{t}")
+    shared = F.size(F.array_intersect("values_a", "values_b"))
+    larger = F.greatest(F.size("values_a"), F.size("values_b"))
+    return pairs.select("set_a", "set_b", shared.alias("n_shared"), (shared / larger).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
 def _set_of(values: Column) -> Column:
