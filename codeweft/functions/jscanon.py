@@ -19,6 +19,7 @@ class Token(NamedTuple):
     kind: str
     text: str
     line: int
+    at: int = 0
 
 
 class JsFunction(NamedTuple):
@@ -48,7 +49,7 @@ def lex(source: str, keep_at: bool = False) -> list[Token]:
         if kind == "skip" or (kind == "AT" and not keep_at):
             continue
         text = m.group()
-        out.append(Token("KW" if kind == "WORD" and text in KEYWORDS else kind, text, line))
+        out.append(Token("KW" if kind == "WORD" and text in KEYWORDS else kind, text, line, m.start()))
     return out
 
 

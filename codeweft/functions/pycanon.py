@@ -243,6 +243,16 @@ def method_hash(source: str) -> str:
         tree = parse(source.strip())
     except (SyntaxError, ValueError, RecursionError):
         return sha256(source)
+    return _method_tree_hash(tree)
+
+
+def method_node_hash(node: Any) -> str:
+    """method_hash of a parsed method, which is renamed in place; its decorators aren't part of its source."""
+    node.decorator_list = []
+    return _method_tree_hash(ast.Module([node], []))
+
+
+def _method_tree_hash(tree: ast.Module) -> str:
     _own_attributes(tree, {})
     _apply(tree, rename_plan(tree, STRICT).names)
     return sha256(ast.dump(tree))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeweft.functions import sql
+from codeweft.operators.ranking import global_rank
+from codeweft.session import cut
 
 
 def fold_inheritance(df: DataFrame, class_id: str, name: str, bases: str, class_hash: str, order: str) -> DataFrame:
@@ -48,40 +48,55 @@ def similar_classes(df: DataFrame, index: str, key: list[str], hashes: str, clas
         F.col(index).cast("long").alias("i"), F.col(class_hash).alias("ch"), F.struct(*key).alias("key"), F.size(F.coalesce(hashes, F.array())).alias("n"),
         F.array_distinct(F.filter(F.coalesce(F.col(hashes), F.array()), lambda x: x.isNotNull())).alias("hs"),
     ).filter("n > 0")
-    firsts = rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("i", "ch", "n", "hs"))).alias("_all"))
-    head = firsts.select(F.col("_all")[0].alias("x")).select("x.*")
-    next_one = firsts.filter(F.size("_all") > 1).select(F.col("_all")[0].alias("a"), F.col("_all")[1].alias("b"))
+    rows = cut(rows)
+    whole = F.struct("i", "ch", "n", "hs")
+    first = rows.groupBy("key").agg(F.min(whole).alias("a"))
+    later = rows.join(first.select("key", F.col("a.i").alias("_first")).hint("merge"), "key").filter(F.col("i") > F.col("_first"))
+    next_one = first.join(later.groupBy("key").agg(F.min(whole).alias("b")).hint("merge"), "key").select("a", "b")
+    # equal classes are one on the way: they are no pair, and meet the others together
+    head = cut(first.select("a.*").groupBy("ch", "n", "hs").agg(F.min("i").alias("i")))
 
     def scored(pairs: DataFrame) -> DataFrame:
         shared = F.size(F.array_intersect("a.hs", "b.hs"))
         larger = F.greatest("a.n", "b.n")
         out = pairs.filter(~F.col("a.ch").eqNullSafe(F.col("b.ch"))).withColumn("s", shared).withColumn("sim", F.col("s") / larger)
-        return out.filter(F.col("sim") >= threshold).select(F.col("a.i").alias("index_a"), F.col("b.i").alias("index_b"), F.col("s").alias("n_shared"), F.col("sim").alias("similarity"))
+        return out.filter(F.col("sim") >= threshold).select(F.col("a.i").alias("i"), F.col("b.i").alias("j"), F.col("s").alias("n_shared"), F.col("sim").alias("similarity"))
 
     if threshold <= 0:
         if head.count() > most_rows:
             raise ValueError(f"a threshold of {threshold} asks for all pairs of more than {most_rows} classes")
         x = head.select(F.struct("*").alias("a"))
-        pairs = x.join(F.broadcast(head.select(F.struct("*").alias("b"))), F.col("a.i") < F.col("b.i"))
-        return scored(pairs).unionByName(scored(next_one))
+        pairs = scored(x.join(F.broadcast(head.select(F.struct("*").alias("b"))), F.col("a.i") < F.col("b.i")))
+    else:
+        pairs = scored(_meetings(head, threshold))
+    known = head.select(F.col("i").alias("_rep"), F.struct("ch", "n", "hs").alias("_same")).hint("merge")
+    members = first.select(F.col("a.i").alias("_i"), F.struct("a.ch", "a.n", "a.hs").alias("_own")).join(known, F.col("_own").eqNullSafe(F.col("_same"))).select("_rep", "_i")
+    for side in ("i", "j"):
+        pairs = pairs.join(members.withColumnRenamed("_rep", side).withColumnRenamed("_i", f"_{side}").hint("merge"), side)
+    expanded = pairs.select(F.col("_i").alias("i"), F.col("_j").alias("j"), "n_shared", "similarity")
+    return expanded.unionByName(scored(next_one)).select(F.least("i", "j").alias("index_a"), F.greatest("i", "j").alias("index_b"), "n_shared", "similarity")
+
+
+def _meetings(head: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): different classes that share one of their rarest hashes, of as many as must hold a shared one."""
     hashed = head.select("i", "n", F.explode("hs").alias("h"))
     frequency = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("f"))
-    ranked = hashed.join(frequency, "h").withColumns(
+    ranked = hashed.join(frequency.hint("merge"), "h").withColumns(
         {"r": F.row_number().over(W.partitionBy("i").orderBy("f", "h")), "d": F.count(F.lit(1)).over(W.partitionBy("i"))}
     )
     needed = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)))
     prefix = ranked.filter(F.col("r") <= F.col("d") - needed + 1).select("i", "h", "n")
     p, q = prefix.alias("p"), prefix.alias("q")
     fits = F.least("p.n", "q.n") >= F.greatest("p.n", "q.n") * F.lit(threshold) - F.lit(1e-9)
-    met = p.join(q, (F.col("p.h") == F.col("q.h")) & (F.col("p.i") < F.col("q.i")) & fits).select(F.col("p.i").alias("i"), F.col("q.i").alias("j")).distinct()
-    full = head.select("i", F.struct("*").alias("a"))
-    other = head.select(F.col("i").alias("j"), F.struct("*").alias("b"))
-    return scored(met.join(full, "i").join(other, "j")).unionByName(scored(next_one))
+    met = p.join(q.hint("merge"), (F.col("p.h") == F.col("q.h")) & (F.col("p.i") < F.col("q.i")) & fits).select(F.col("p.i").alias("i"), F.col("q.i").alias("j")).distinct()
+    full = head.select("i", F.struct("*").alias("a")).hint("merge")
+    other = head.select(F.col("i").alias("j"), F.struct("*").alias("b")).hint("merge")
+    return met.join(full, "i").join(other, "j").select("a", "b")
 
 
-def fewest_for(threshold: float, n: int) -> int:
-    """Shared hashes that a class of n methods needs."""
-    return max(1, math.ceil(n * threshold))
+def ordered_pairs(pairs: DataFrame) -> DataFrame:
+    """Similar pairs with their position from 0: the most similar first, then by index."""
+    return global_rank(pairs, [F.col("similarity").desc(), F.col("index_a"), F.col("index_b")])
 
 
 def pair_details(pairs: DataFrame, df: DataFrame, index: str, methods: str) -> DataFrame:

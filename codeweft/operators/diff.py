@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeweft.operators.ranking import global_rank
+
 
 def _side(df: DataFrame, key: str, label: str, order: str | None, name: str) -> DataFrame:
     picked = F.max(F.struct(F.col(order).alias("o"), F.col(label).alias("l"))).getField("l") if order else F.max(label)
@@ -21,6 +23,11 @@ def hash_diff(a: DataFrame, b: DataFrame, key: str, label: str, order: str | Non
     return both.select(key, status.alias("status"), "label_a", "label_b", F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"))
 
 
+def ordered_diff(found: DataFrame, key: str) -> DataFrame:
+    """A hash_diff with its position from 0 in ascending order of hash."""
+    return global_rank(found, [F.col(key)])
+
+
 def verify(expected: DataFrame, actual: DataFrame, key: str, both_ways: bool = True) -> DataFrame:
     """(key, problem): hashes that are missing from actual and, both ways, those that are extra. No rows mean success."""
     e, a = (x.filter(F.col(key).isNotNull()).select(key).distinct() for x in (expected, actual))

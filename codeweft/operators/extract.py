@@ -126,11 +126,27 @@ def raw_classes(df: DataFrame, content: str, language: str, plain: bool = False)
     return explode_text(df, [content, language], lambda t, lang: find(t or "", lang or ""), schemas.BLOCK)
 
 
-def documents(df: DataFrame, code: str, variant: str = pycanon.STRICT) -> DataFrame:
-    """Graph documents of codes: root, digests, nodes, name map. What doesn't parse gives no row."""
+#: Node ids that a worker remembers to have given out.
+GIVEN_NODES = 1_000_000
+
+
+def documents(df: DataFrame, code: str, variant: str = pycanon.STRICT, every_node: bool = True) -> DataFrame:
+    """Graph documents of codes: root, digests, nodes, name map. What doesn't parse gives no row.
+
+    every_node: each row has all nodes of its graph; else a worker may leave out nodes that it gave with an earlier row
+    of the same partition, which is what a store of different nodes needs, and keeps the rows small.
+    """
+
+    given: set[str] = set()
 
     def make(text: str | None) -> list[tuple]:
         row = document(text, variant) if text is not None else None
+        if row and not every_node:
+            if len(given) > GIVEN_NODES:
+                given.clear()
+            new = [n for n in row[3] if n[0] not in given]
+            given.update(n[0] for n in new)
+            row = (*row[:3], new, row[4])
         return [row] if row else []
 
     return explode_text(df, [code], make, schemas.DOCUMENT).drop("walk_ord")

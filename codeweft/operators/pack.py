@@ -38,14 +38,19 @@ class Pack:
 
 
 def pack_python(functions: DataFrame, file: str, qualname: str, line: str, source: str) -> Pack:
-    """Pack of Python functions. Those that don't parse are left out; equal nodes of all functions are kept once."""
+    """Pack of Python functions. Those that don't parse are left out; equal nodes of all functions are kept once.
+
+    The functions are encoded once, into a checkpoint that the three tables read.
+    """
     docs = documents(
         functions.select(
             F.col(file).alias("file"), F.col(qualname).alias("qualname"), F.col(line).alias("lineno"), F.col(source).alias("_code"),
             sql.occurrence_key(F.col(file), F.col(qualname), F.col(line)).alias("occurrence_key"),
         ),
         "_code",
+        every_node=False,
     ).drop("_code")
+    docs = cut(docs)
     roots = docs.select("root", "file", "qualname", "lineno", "sir_sha256", "source_sha256", "occurrence_key")
     nodes = docs.select(F.explode("nodes").alias("n")).select("n.*").dropDuplicates(["node_id"])
     namemaps = docs.select("occurrence_key", F.col("root").alias("root_id"), F.col("name_map").alias("functions"))

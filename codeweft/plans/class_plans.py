@@ -11,9 +11,9 @@ from codeweft.session import spread, table
 from codeweft.sources import generated
 
 
-def _classes(spark: SparkSession, d: str, code: str = "code") -> DataFrame:
-    rows = generated.python_classes(spread(table(spark, d, "orders")), table(spark, d, "lineitem"))
-    return extract.python_classes(rows.select("o_orderkey", "o_custkey", F.col(code).alias("code")), "code")
+def _classes(spark: SparkSession, d: str) -> DataFrame:
+    rows = generated.python_classes(table(spark, d, "orders"), table(spark, d, "lineitem"))
+    return extract.python_classes(rows.select("o_orderkey", "o_custkey", "code"), "code")
 
 
 def class_exact_clusters(spark: SparkSession, d: str) -> DataFrame:
@@ -22,9 +22,9 @@ def class_exact_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 def class_method_order(spark: SparkSession, d: str) -> DataFrame:
     """Classes whose hash changes when their methods stand in another order: none."""
-    a = _classes(spark, d).select("o_orderkey", "class_hash")
-    b = _classes(spark, d, "reversed_code").select("o_orderkey", F.col("class_hash").alias("other"))
-    return a.join(b, "o_orderkey").agg(F.count(F.lit(1)).alias("n_classes"), F.count_if(F.col("class_hash") != F.col("other")).alias("n_changed"))
+    rows = generated.python_classes(table(spark, d, "orders"), table(spark, d, "lineitem"))
+    first = extract.python_classes(rows.select("o_orderkey", "code", "reversed_code"), "code").select("reversed_code", F.col("class_hash").alias("other"))
+    return extract.python_classes(first, "reversed_code").agg(F.count(F.lit(1)).alias("n_classes"), F.count_if(F.col("class_hash") != F.col("other")).alias("n_changed"))
 
 
 def health_classes(spark: SparkSession, d: str) -> DataFrame:
@@ -73,6 +73,16 @@ def class_similarity_t0(spark: SparkSession, d: str) -> DataFrame:
     return classes.similar_classes(rows, "class_id", ["library", "name", "class_id"], "hashes", "class_hash", 0.0)
 
 
+def class_similarity_ordered(spark: SparkSession, d: str) -> DataFrame:
+    return classes.ordered_pairs(_similar(spark, d, 0.5)).select("position", "index_a", "index_b", "similarity")
+
+
+def class_similarity_namesakes(spark: SparkSession, d: str) -> DataFrame:
+    """Similar classes where those of one library are namesakes: each is paired by its first class only."""
+    rows = table(spark, d, "class_catalog").withColumn("hashes", F.col("methods.hash"))
+    return classes.similar_classes(rows, "class_id", ["library"], "hashes", "class_hash", 0.0)
+
+
 def class_pair_details(spark: SparkSession, d: str) -> DataFrame:
     out = classes.pair_details(_similar(spark, d, 0.75), _stored(spark, d), "class_id", "methods")
     return out.select("index_a", "index_b", F.size("shared").alias("n_common"), F.size("only_in_a").alias("n_only_a"), F.size("only_in_b").alias("n_only_b"))
@@ -82,7 +92,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         class_exact_clusters, class_method_order, health_classes, merkle_hash, class_inheritance, class_inheritance_clusters,
-        class_similarity_t75, class_similarity_t50, class_similarity_t0, class_pair_details,
+        class_similarity_t75, class_similarity_t50, class_similarity_t0, class_similarity_ordered, class_similarity_namesakes, class_pair_details,
     )
 }
 
@@ -120,6 +130,12 @@ SELECT sum(n)::BIGINT AS total, count(*) AS "unique", greatest(0, round_even((1.
 WITH m AS (SELECT class_id, class_hash, len(methods) AS n, list_distinct(list_filter(list_transform(methods, lambda x: x.hash), lambda y: y IS NOT NULL)) AS hs FROM class_catalog WHERE len(methods) > 0)
 SELECT a.class_id AS index_a, b.class_id AS index_b, len(list_intersect(a.hs, b.hs))::INT AS n_shared, len(list_intersect(a.hs, b.hs)) / greatest(a.n, b.n) AS similarity
 FROM m a JOIN m b ON a.class_id < b.class_id WHERE a.class_hash IS DISTINCT FROM b.class_hash""",
+    "class_similarity_ordered": f"""SELECT row_number() OVER (ORDER BY similarity DESC, index_a, index_b) - 1 AS position, index_a, index_b, similarity FROM ({_similarity(0.5, _STORED)})""",
+    "class_similarity_namesakes": """
+WITH m AS (SELECT class_id, class_hash, len(methods) AS n, list_distinct(list_filter(list_transform(methods, lambda x: x.hash), lambda y: y IS NOT NULL)) AS hs, library,
+  row_number() OVER (PARTITION BY library ORDER BY class_id) AS rn FROM class_catalog WHERE len(methods) > 0)
+SELECT a.class_id AS index_a, b.class_id AS index_b, len(list_intersect(a.hs, b.hs))::INT AS n_shared, len(list_intersect(a.hs, b.hs)) / greatest(a.n, b.n) AS similarity
+FROM m a JOIN m b ON a.class_id < b.class_id WHERE a.class_hash IS DISTINCT FROM b.class_hash AND (a.rn = 1 AND b.rn = 1 OR a.rn = 1 AND b.rn = 2 AND a.library = b.library)""",
     "class_pair_details": f"""
 SELECT index_a, index_b, n_shared AS n_common, (len(x.hs) - n_shared)::INT AS n_only_a, (len(y.hs) - n_shared)::INT AS n_only_b FROM ({_similarity(0.75, _STORED)}) q
 JOIN (SELECT DISTINCT class_id, list_distinct(list_filter(list_transform(methods, lambda x: x.hash), lambda y: y IS NOT NULL)) AS hs FROM classes) x ON x.class_id = index_a

@@ -12,9 +12,10 @@ from codeweft.session import spread, table
 from codeweft.sources import generated
 
 
-def _parts(spark: SparkSession, d: str, variant: str = pycanon.STRICT) -> DataFrame:
-    """Functions of the generated part sources: extracted, then hashed."""
-    rows = generated.python_parts(spread(table(spark, d, "part")))
+def _parts(spark: SparkSession, d: str, variant: str = pycanon.STRICT, where: str | None = None) -> DataFrame:
+    """Functions of the generated part sources: extracted, then hashed. where: filter on part, applied at the scan."""
+    part = table(spark, d, "part")
+    rows = generated.python_parts(spread(part.filter(where) if where else part))
     found = extract.python_functions(rows.drop("name"), "code")
     return found.withColumn("sem_hash", sql.sem_hash(F.col("source"), variant))
 
@@ -81,22 +82,29 @@ def fn_ranked(spark: SparkSession, d: str) -> DataFrame:
     return global_rank(table(spark, d, "part").select("p_partkey", "p_name"), [F.col("p_name"), F.col("p_partkey")]).select("p_partkey", "position")
 
 
+def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The functions of two sets of brands, each half parsed once."""
+    key = F.concat("sem_hash", F.lit("/"), "p_type")
+    return tuple(_parts(spark, d, where=f"p_brand {op} 'Brand#3'").withColumn("key", key) for op in ("<", ">="))
+
+
 def hash_diff(spark: SparkSession, d: str) -> DataFrame:
-    rows = _parts(spark, d).withColumn("key", F.concat("sem_hash", F.lit("/"), "p_type"))
-    a, b = rows.filter(F.col("p_brand") < "Brand#3"), rows.filter(F.col("p_brand") >= "Brand#3")
-    out = diff.hash_diff(a, b, "key", "p_partkey", "p_partkey")
+    out = diff.hash_diff(*_halves(spark, d), "key", "p_partkey", "p_partkey")
     return out.select("status", "label_a", "label_b", "n_a", "n_b")
 
 
+def hash_diff_ordered(spark: SparkSession, d: str) -> DataFrame:
+    """The difference in order of hash, as a report lists it."""
+    a, b = (x.withColumn("key", F.concat("p_size", F.lit("/"), "p_type")) for x in _halves(spark, d))
+    return diff.ordered_diff(diff.hash_diff(a, b, "key", "p_partkey", "p_partkey"), "key").select("position", "key", "status", "label_a", "label_b")
+
+
 def verify_missing_extra(spark: SparkSession, d: str) -> DataFrame:
-    rows = _parts(spark, d).withColumn("key", F.concat("sem_hash", F.lit("/"), "p_type"))
-    a, b = rows.filter(F.col("p_brand") < "Brand#3"), rows.filter(F.col("p_brand") >= "Brand#3")
-    return diff.verify(a, b, "key").groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+    return diff.verify(*_halves(spark, d), "key").groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
 def index_probe(spark: SparkSession, d: str) -> DataFrame:
-    rows = _parts(spark, d).withColumn("key", F.concat("sem_hash", F.lit("/"), "p_type"))
-    index, probes = rows.filter(F.col("p_brand") < "Brand#3"), rows.filter(F.col("p_brand") >= "Brand#3")
+    index, probes = _halves(spark, d)
     out = diff.probe_index(probes.select("p_partkey", "key"), index, "key", ["p_partkey"])
     return out.select("p_partkey", "found", "n_places", F.col("first_place.p_partkey").alias("first_key"))
 
@@ -129,7 +137,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         fn_clusters_strict, fn_clusters_exact_mode, fn_unique_count, fn_min_cluster_n, fn_clusters_aggressive, fn_clusters_strict_builtin,
-        fn_canonical_pick, fn_removals, fn_cluster_index, health_scores, health_walk_lines, fn_ranked, hash_diff, verify_missing_extra,
+        fn_canonical_pick, fn_removals, fn_cluster_index, health_scores, health_walk_lines, fn_ranked, hash_diff, hash_diff_ordered, verify_missing_extra,
         index_probe, js_clusters, ts_equals_js, universal_cross_language,
     )
 }
@@ -165,6 +173,8 @@ SELECT *, greatest(0, round_even((1.0::DOUBLE - dup_members::DOUBLE / total) * 1
     "fn_ranked": "SELECT p_partkey, row_number() OVER (ORDER BY p_name, p_partkey) - 1 AS position FROM part",
     "hash_diff": f"""{_HALVES}, x AS (SELECT key, max(p_partkey) AS label_a, count(*) AS n_a FROM a GROUP BY 1), y AS (SELECT key, max(p_partkey) AS label_b, count(*) AS n_b FROM b GROUP BY 1)
 SELECT CASE WHEN n_b IS NULL THEN 'only_a' WHEN n_a IS NULL THEN 'only_b' ELSE 'common' END AS status, label_a, label_b, coalesce(n_a, 0) AS n_a, coalesce(n_b, 0) AS n_b FROM x FULL JOIN y USING (key)""",
+    "hash_diff_ordered": f"""{_HALVES}, x AS (SELECT key, max(p_partkey) AS label_a FROM a GROUP BY 1), y AS (SELECT key, max(p_partkey) AS label_b FROM b GROUP BY 1)
+SELECT row_number() OVER (ORDER BY key) - 1 AS position, key, CASE WHEN label_b IS NULL THEN 'only_a' WHEN label_a IS NULL THEN 'only_b' ELSE 'common' END AS status, label_a, label_b FROM x FULL JOIN y USING (key)""",
     "verify_missing_extra": f"""{_HALVES} SELECT problem, count(*) AS n FROM (
   SELECT DISTINCT key, 'missing' AS problem FROM a WHERE key NOT IN (SELECT key FROM b) UNION ALL SELECT DISTINCT key, 'extra' FROM b WHERE key NOT IN (SELECT key FROM a)) GROUP BY 1""",
     "index_probe": f"""{_HALVES}, i AS (SELECT key, count(*) AS n, min(p_partkey) AS f FROM a GROUP BY 1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,7 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder of spark.checkpoint.dir; make a local one only where none is set (tests)."""
+    """Use the shared folder of spark.checkpoint.dir; make a local one only where none is set and everything runs in one
+    process (tests). Elsewhere a local folder would be out of other executors' reach, so its absence is an error."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
@@ -38,10 +40,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(where)
         return where
     if current is None:
+        if not (sc.master or "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="codeweft-ckpt-"))
     return sc.getCheckpointDir()
 
 
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder of its own beside the checkpoints, for tables that are written and read again."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{purpose}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df once to the shared checkpoint folder, so that later uses read it and a lost executor costs nothing."""
     ensure_checkpoint_dir(df.sparkSession)
