@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from codeweft import schemas
 from codeweft.functions import jscanon, pycanon, pysource, universal
@@ -50,19 +51,20 @@ def method_hash(code: Column) -> Column:
     return _text_udf(pycanon.method_hash)(code)
 
 
-def js_hash(params: Column, body: Column) -> Column:
-    """Hash of a JavaScript function from its parameters and body text."""
-
+def _js_hash_udf():
     @F.pandas_udf("string")
     def run(p: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if y is None else jscanon.js_hash_of_text(list(x) if x is not None else [], y) for x, y in zip(p, b)], dtype=object)
 
-    return run.asNondeterministic()(params, body)
+    return run.asNondeterministic()
 
 
-def universal_hash(code: Column, language: Column) -> Column:
-    """Universal hash of the first function of a code: Python, JavaScript or TypeScript; null for others."""
+def js_hash(params: Column, body: Column) -> Column:
+    """Hash of a JavaScript function from its parameters and body text."""
+    return _js_hash_udf()(params, body)
+
 
+def _universal_hash_udf():
     def one(code: str | None, language: str | None) -> str | None:
         low = (language or "").lower()
         if not code:
@@ -82,13 +84,33 @@ def universal_hash(code: Column, language: Column) -> Column:
     def run(c: pd.Series, lang: pd.Series) -> pd.Series:
         return pd.Series([one(x, y) for x, y in zip(c, lang)], dtype=object)
 
-    return run.asNondeterministic()(code, language)
+    return run.asNondeterministic()
+
+
+def universal_hash(code: Column, language: Column) -> Column:
+    """Universal hash of the first function of a code: Python, JavaScript or TypeScript; null for others."""
+    return _universal_hash_udf()(code, language)
 
 
 def translation_error(code: Column, wanted: str = "function") -> Column:
     return F.coalesce(_text_udf(lambda t: pysource.translation_error(t, wanted))(code), F.when(code.isNull(), F.lit("Empty translation")))
 
 
+def normalised(code: Column) -> Column:
+    """Code without the indent that all lines share and without blank ends."""
+    return _text_udf(pysource.normalised)(code)
+
+
+def find_function(code: Column, name: Column) -> Column:
+    """Source of the first top-level function of a name in a Python source, or null."""
+
+    @F.pandas_udf("string")
+    def run(c: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([pysource.find_function(x, y) for x, y in zip(c, n)], dtype=object)
+
+    return run.asNondeterministic()(code, name)
+
+
 def clean_translation(raw: Column, wanted: str = "function") -> Column:
     return _text_udf(pysource.clean_class_translation if wanted == "class" else pysource.clean_translation)(raw)
 
@@ -160,6 +182,30 @@ def nonblank_lines(text: Column) -> Column:
     return F.size(F.filter(F.split(text, LINE_END), lambda x: x.rlike(VISIBLE)))
 
 
+def constructor(name: Column) -> Column:
+    """Whether a function's name is written as a class's, with a capital letter first; false for null."""
+    return F.coalesce(F.substring(name, 1, 1).rlike(r"\p{Lu}"), F.lit(False))
+
+
+def source_hash(text: Column) -> Column:
+    """Digest of a source as it stands."""
+    return F.sha2(text, 256)
+
+
+def canonical_json(df_schema: StructType, of: Callable[[str], Column] = F.col) -> Column:
+    """JSON of a row with the fields of all structs, at any depth, in alphabetical order and without spaces."""
+
+    def ordered(value: Column, kind: DataType) -> Column:
+        if isinstance(kind, StructType):
+            made = F.struct(*[ordered(value[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)])
+            return F.when(value.isNotNull(), made)
+        if isinstance(kind, ArrayType):
+            return F.transform(value, lambda x: ordered(x, kind.elementType))
+        return value
+
+    return F.to_json(F.struct(*[ordered(of(f.name), f.dataType).alias(f.name) for f in sorted(df_schema.fields, key=lambda f: f.name)]))
+
+
 def display_hash(h: Column, n: int = 16) -> Column:
     return F.substring(h, 1, n)
 
@@ -180,6 +226,19 @@ def repo_parts(url: Column) -> Column:
     )
 
 
+#: Functions that SQL can express, by their heads.
+EXPRESSIONS = {
+    "merkle_hash(hashes ARRAY<STRING>) RETURNS STRING": "sha2(to_json(sort_array(hashes)), 256)",
+    "folded_hash(methods STRING, parents ARRAY<STRING>) RETURNS STRING": "sha2(to_json(struct(methods AS methods, sort_array(parents) AS parents)), 256)",
+    "health_cli(total BIGINT, dup_members BIGINT) RETURNS INT": "CASE WHEN total = 0 THEN 100 ELSE greatest(0, CAST(bround((1.0D - dup_members / total) * 100, 0) AS INT)) END",
+    "health_ui(total BIGINT, uniques BIGINT) RETURNS INT": "CAST(100 * uniques / greatest(total, 1) AS INT)",
+    "health_mcp(total BIGINT, extra BIGINT) RETURNS INT": "CASE WHEN total = 0 THEN 100 ELSE greatest(0, 100 - CAST(extra / total * 100 AS INT)) END",
+    "health_after_merge(total BIGINT, uniques BIGINT, extra BIGINT) RETURNS INT": "least(100, CAST(100 * uniques / greatest(total - extra, 1) AS INT))",
+    "occurrence_key(file STRING, qualname STRING, line INT) RETURNS STRING": "concat(file, '::', qualname, '::', CAST(line AS STRING))",
+    "cache_key(language STRING, code STRING) RETURNS STRING": "substring(sha2(concat(language, '::', code), 256), 1, 32)",
+}
+
+
 def register(spark: SparkSession) -> None:
     """Makes the functions and table functions of this package callable from SQL."""
     from pyspark.sql.functions import udtf
@@ -194,6 +253,10 @@ def register(spark: SparkSession) -> None:
     }
     for name, make in texts.items():
         spark.udf.register(name, _text_udf(make))
+    spark.udf.register("js_hash", _js_hash_udf())
+    spark.udf.register("universal_hash", _universal_hash_udf())
+    for head, body in EXPRESSIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
 
     @udtf(returnType=schemas.FUNCTION)
     class ExtractFunctions:

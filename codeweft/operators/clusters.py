@@ -119,6 +119,27 @@ def classification_metrics(df: DataFrame, expected: str, actual: str, undefined:
     return scored.withColumn("f1", ratio(2 * p * r, p + r))
 
 
+def pairs_against_truth(rows: DataFrame, key: str, file: str, name: str, truth: DataFrame) -> DataFrame:
+    """tp, fp, fn, precision and recall of the pairs of places that clusters imply, against known pairs.
+
+    rows: a place (file, name) is one member of a cluster however often it is repeated there. truth: (file_a, name_a,
+    file_b, name_b), in either order, repeats count once. Precision and recall are 1 where they are undefined. Pairs of a
+    cluster are counted, not made: a known pair is found where both its places have the same hash. A pair of places that
+    share several hashes counts for each of them among those found beyond the truth.
+    """
+    places = rows.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.struct(F.col(file).alias("f"), F.col(name).alias("n")).alias("p")).distinct()
+    sizes = places.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    detected = sizes.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0)).cast("long").alias("detected"))
+    a, b = (F.struct(F.col(f"file_{x}").alias("f"), F.col(f"name_{x}").alias("n")) for x in "ab")
+    known = truth.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    hit = known.join(places.select(F.col("p").alias("a"), "k"), "a").join(places.select(F.col("p").alias("b"), "k"), ["b", "k"]).select("a", "b", "k")
+    counts = hit.agg(F.count_distinct("a", "b").alias("tp"), F.count(F.lit(1)).alias("met"))
+    one = counts.join(F.broadcast(detected)).join(F.broadcast(known.agg(F.count(F.lit(1)).alias("wanted"))))  # one row each
+    out = one.select("tp", (F.col("detected") - F.col("met")).alias("fp"), (F.col("wanted") - F.col("tp")).alias("fn"))
+    part = lambda y: F.when(y == 0, F.lit(1.0)).otherwise(F.col("tp") / y)
+    return out.withColumns({"precision": part(F.col("tp") + F.col("fp")), "recall": part(F.col("tp") + F.col("fn"))})
+
+
 def stability(df: DataFrame, first: str, second: str) -> DataFrame:
     """Share in percent, rounded, of rows whose two hashes agree, among those that have both."""
     both = df.filter(F.col(first).isNotNull() & F.col(second).isNotNull())

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.functions import pycanon, pysource, sql
+from codeweft.session import cut
 
 #: Confidence levels; LOW is not cached.
 HIGH, MEDIUM, LOW, FAILED = "HIGH", "MEDIUM", "LOW", "FAILED"
@@ -40,6 +42,18 @@ def recorded_backend(answers: dict[tuple[str, str], list[str]]) -> Backend:
     return call
 
 
+def available(backends: dict[str, Backend], language: str = "Java", code: str = "") -> dict[str, bool]:
+    """Which backends answer at all: each is asked once."""
+
+    def answers(backend: Backend) -> bool:
+        try:
+            return backend(language, code, 0) is not None
+        except Exception:  # noqa: BLE001 - whatever a backend raises, it doesn't answer
+            return False
+
+    return {name: answers(b) for name, b in backends.items()}
+
+
 def _translate(language: str, code: str, backend: Backend, wanted: str, check: bool) -> tuple:
     clean = pysource.clean_class_translation if wanted != "function" else pysource.clean_translation
 
@@ -92,13 +106,39 @@ def translate(wanted_rows: DataFrame, language: str, code: str, backend: Backend
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             got = [(k, lang, *_translate(lang, c, backend, wanted, check)) for k, lang, c in zip(pdf.cache_key, pdf.language, pdf.code)]
-            yield pd.DataFrame(got, columns=[x.split()[0] for x in RESULT.split(", ")])
+            yield pd.DataFrame(got, columns=_RESULT_COLUMNS)
 
-    fresh = misses.mapInPandas(run, RESULT).withColumn("cache_hit", F.lit(False))
-    known = fresh if cache is None else cache.select(*[x.split()[0] for x in RESULT.split(", ")], F.lit(True).alias("cache_hit")).unionByName(fresh)
+    # a backend is asked once, whatever is made of the answers
+    fresh = cut(misses.mapInPandas(run, RESULT)).withColumn("cache_hit", F.lit(False))
+    known = fresh if cache is None else cache.select(*_RESULT_COLUMNS, F.lit(True).alias("cache_hit")).unionByName(fresh)
     return rows.join(known.drop("language"), "cache_key", "left"), fresh.filter(F.col("confidence") != LOW).drop("cache_hit")
 
 
+_RESULT_COLUMNS = [x.split()[0] for x in RESULT.split(", ")]
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The kept translations, each key once with its last one; an empty table where there are none."""
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], RESULT)
+    rest = [c for c in _RESULT_COLUMNS if c != "cache_key"]
+    last = rows.groupBy("cache_key").agg(F.max(F.struct("added", *rest)).alias("r"))
+    return last.select("cache_key", *[F.col(f"r.{c}").alias(c) for c in rest])
+
+
+def add_to_cache(fresh: DataFrame, path: str) -> None:
+    """Keeps new results, but not those of LOW confidence; files that are there stay as they are."""
+    rows = fresh.filter(F.coalesce("confidence", F.lit(MEDIUM)) != LOW).select(*_RESULT_COLUMNS, F.current_timestamp().alias("added"))
+    rows.write.mode("append").option("compression", "zstd").parquet(path)
+
+
+def clear_cache(spark: SparkSession, path: str) -> None:
+    """Drops all kept translations; the table stays, empty."""
+    spark.createDataFrame([], RESULT + ", added timestamp").write.mode("overwrite").parquet(path)
+
+
 def usable(df: DataFrame, level: str = "confidence", text: str = "python_src") -> DataFrame:
     """Rows whose translation can be used."""
     return df.filter((F.coalesce(F.col(level), F.lit(MEDIUM)) != FAILED) & (F.length(text) > 0))

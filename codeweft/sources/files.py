@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from pathlib import Path
+
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from codeweft.functions import rawcode, sql
 
@@ -23,18 +29,71 @@ def discover(spark: SparkSession, root: str, extensions: list[str], recursive: b
     """
     glob = "*{" + ",".join(extensions) + "}"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", glob).load(root)
-
-    @F.pandas_udf("string")
-    def text(b: pd.Series) -> pd.Series:
-        return b.map(lambda x: bytes(x).decode("utf-8", errors))
-
     base = root.rstrip("/")
     rel = F.regexp_replace(F.col("path"), "^[a-z]+:(//)?" + base + "/", "")
-    out = raw.select("path", rel.alias("rel_path"), sql.extension(F.col("path")).alias("ext"), text("content").alias("content"), F.sha2("content", 256).alias("file_sha256"), "length")
+    out = raw.select("path", rel.alias("rel_path"), sql.extension(F.col("path")).alias("ext"), decoded(F.col("content"), errors).alias("content"), F.sha2("content", 256).alias("file_sha256"), "length")
     return out.withColumn("lang", language_of(F.col("ext")))
 
 
+def decoded(content: Column, errors: str = "replace") -> Column:
+    """Text of UTF-8 bytes; errors says what becomes of others: replace or ignore. Null for null."""
+
+    @F.pandas_udf("string")
+    def run(b: pd.Series) -> pd.Series:
+        return b.map(lambda x: None if x is None else bytes(x).decode("utf-8", errors))
+
+    return run(content)
+
+
+def from_bytes(df: DataFrame, path: str, content: str, errors: str = "replace") -> DataFrame:
+    """Uploaded files, given as bytes in a column, as source files: path, rel_path, ext, lang, content, file_sha256, length."""
+    ext = sql.extension(F.col(path))
+    return df.select(
+        F.col(path).alias("path"), F.col(path).alias("rel_path"), ext.alias("ext"), decoded(F.col(content), errors).alias("content"),
+        F.sha2(content, 256).alias("file_sha256"), F.octet_length(content).cast("long").alias("length"),
+    ).withColumn("lang", language_of(F.col("ext")))
+
+
+class TreeListing(DataSource):
+    """Repository tree listings, downloaded before, as a table: format("tree_listing").load(a JSON file or a folder of them).
+
+    A listing is a JSON object whose tree is a list of entries (path, type, size). Every file is a partition of its own.
+    Entries without a path are left out; the option repo names the repository, else it is the file's name.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "tree_listing"
+
+    def schema(self) -> str:
+        return "repo string, path string, type string, size long"
+
+    def reader(self, schema):  # type: ignore[no-untyped-def]
+        return _ListingReader(self.options)
+
+
+class _ListingReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.options = dict(options)
+
+    def partitions(self) -> list[InputPartition]:
+        root = Path(self.options["path"].removeprefix("file:"))
+        return [InputPartition(str(p)) for p in (sorted(root.glob("*.json")) if root.is_dir() else [root])]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        at = Path(partition.value)
+        for e in json.loads(at.read_text("utf-8")).get("tree") or []:
+            if e.get("path"):
+                yield self.options.get("repo", at.stem), e["path"], e.get("type"), e.get("size")
+
+
+def register_sources(spark: SparkSession) -> None:
+    """Makes the sources of this package known to spark.read.format."""
+    spark.dataSource.register(TreeListing)
+
+
 def literal_source(spark: SparkSession, text: str, name: str = "<stdin>") -> DataFrame:
+    """A text given on standard input as the only file."""
     return spark.createDataFrame([(name, text)], "path string, content string")
 
 
@@ -109,8 +168,24 @@ def remote_listing(df: DataFrame, extensions: list[str]) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """Rows as JSON lines with their fields in alphabetical order."""
-    df.select(F.to_json(F.struct(*sorted(df.columns))).alias("value")).write.text(path)
+    """Rows as JSON lines without spaces; fields of all structs are in alphabetical order."""
+    df.select(sql.canonical_json(df.schema).alias("value")).write.text(path)
+
+
+CACHED = ["path", "file_sha256", "qualname", "lineno", "sem_hash"]
+
+
+def write_cache(functions: DataFrame, path: str) -> None:
+    """Keeps the hashes of scanned functions, for file_cache."""
+    functions.select(*CACHED).write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The kept hashes; an empty table where nothing was kept or it can't be read."""
+    try:
+        return spark.read.parquet(path).select(*CACHED)
+    except AnalysisException:
+        return spark.createDataFrame([], "path string, file_sha256 string, qualname string, lineno int, sem_hash string")
 
 
 def file_cache(files: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -30,11 +30,20 @@ def upsert_counts(stream: DataFrame, key: str, order: str, path: str, checkpoint
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current_counts(spark, path: str, key: str) -> DataFrame:  # type: ignore[no-untyped-def]
+def current_counts(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(key, n, first) over all batches that were written."""
     written = spark.read.parquet(path)
     return written.groupBy(key).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
 
+def compact_counts(spark: SparkSession, path: str, key: str, target: str) -> None:
+    """Folds the counts of all batches into one table of the same form at target; path stays, so that a reader of it loses nothing.
+
+    A stream is stopped meanwhile and goes on with target as its path, where batch numbers go on too.
+    """
+    current_counts(spark, path, key).write.mode("overwrite").parquet(f"{target}/batch=-1")
+
+
 def windowed_counts(stream: DataFrame, time: str, key: str, window: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Rows of each key in tumbling windows of event time; rows later than the watermark are left out."""
     return stream.withWatermark(time, late).groupBy(F.window(time, window).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), key, "n")
