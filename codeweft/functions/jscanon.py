@@ -122,7 +122,7 @@ def erase_types(tokens: list[Token]) -> list[Token]:
             i = end
         elif t.text in _MODIFIERS or t.text == "abstract":
             i += 1
-        elif t.text == "!" and out and out[-1].kind == "WORD" and _is(tokens, i + 1, ".", ",", ")", ";"):
+        elif t.text == "!" and out and out[-1].kind in ("WORD", "KW") and out[-1].at + len(out[-1].text) == t.at and (_is(tokens, i + 1, ".", ",", ")", ";") or (i + 1 < n and tokens[i + 1].at > t.at + 1)):
             i += 1
         elif t.text == "as" and i + 1 < n and tokens[i + 1].kind in ("WORD", "KW"):
             i = _type_end(tokens, i + 1)

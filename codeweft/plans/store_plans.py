@@ -10,7 +10,6 @@ from codeweft.operators import clusters, diff, extract, merge, pack, translate
 from codeweft.operators.ranking import global_rank
 from codeweft.session import spread, table
 from codeweft.sources import files, generated
-from codeweft.streaming.counts import batch_counts
 
 
 def occurrence_clusters(spark: SparkSession, d: str) -> DataFrame:
@@ -126,23 +125,6 @@ def classifier_metrics(spark: SparkSession, d: str) -> DataFrame:
     return clusters.classification_metrics(rows.join(by_hash, "hash", "left").join(by_code, "code", "left"), "e", "a")
 
 
-def raw_extract_java(spark: SparkSession, d: str) -> DataFrame:
-    out = extract.raw_functions(generated.java_nations(table(spark, d, "nation")), "code", "language")
-    return out.select("n_nationkey", "name", "lineno")
-
-
-def raw_extract_classes(spark: SparkSession, d: str) -> DataFrame:
-    out = extract.raw_classes(generated.java_nations(table(spark, d, "nation")), "code", "language")
-    return out.select("n_nationkey", "name", "lineno")
-
-
-def translated_validity(spark: SparkSession, d: str) -> DataFrame:
-    """How many stored translations can't be used, by reason."""
-    rows = table(spark, d, "ai_pack_store").select("store_id", "python_src").distinct()
-    error = sql.translation_error(F.col("python_src"))
-    return rows.groupBy(F.when(error.startswith("SyntaxError"), F.lit("SyntaxError")).otherwise(error).alias("error")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def _files(spark: SparkSession, d: str) -> DataFrame:
     return generated.customer_files(table(spark, d, "customer"))
 
@@ -191,19 +173,14 @@ def names_and_imports(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def stream_cluster_counts(spark: SparkSession, d: str) -> DataFrame:
-    """What the stream of counts adds up to."""
-    return batch_counts(table(spark, d, "occur").select("semantic_hash", "occur_id"), "semantic_hash", "occur_id")
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         occurrence_clusters, occurrence_health, merge_plan, pack_meta, pack_restore, pack_js_store, pack_ai_store, pack_counts,
         restore_skip_seen_file, restore_skip_seen_global, occurrence_list, restored_files, bundle_size, cache_keys, cache_hits_misses,
-        confidence_histogram, confidence_state, nonblank_lines, classifier_metrics, raw_extract_java, raw_extract_classes, translated_validity,
+        confidence_histogram, confidence_state, nonblank_lines, classifier_metrics,
         file_ignore_paths, fn_ignore_names, file_language, file_walk_pruned, index_walk, remote_listing, repo_addresses, names_and_imports,
-        stream_cluster_counts,
+       
     )
 }
 
@@ -260,8 +237,6 @@ f AS (SELECT coalesce(hash IN (SELECT hash FROM hash_index WHERE hash IS NOT NUL
 c AS (SELECT count_if(e AND a)::BIGINT AS tp, count_if(NOT e AND NOT a)::BIGINT AS tn, count_if(NOT e AND a)::BIGINT AS fp, count_if(e AND NOT a)::BIGINT AS fn FROM f),
 s AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS "precision", CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS recall, (tp + tn) / (tp + tn + fp + fn) AS accuracy FROM c)
 SELECT *, CASE WHEN "precision" + recall = 0 THEN 0.0 ELSE 2 * "precision" * recall / ("precision" + recall) END AS f1 FROM s""",
-    "raw_extract_java": "SELECT n_nationkey, 'region' || n_nationkey AS name, 2 AS lineno FROM nation UNION ALL SELECT n_nationkey, 'key' || n_nationkey, 6 FROM nation",
-    "raw_extract_classes": "SELECT n_nationkey, 'Nation' || n_nationkey AS name, 1 AS lineno FROM nation",
     "file_ignore_paths": f"SELECT path FROM {_FILES} WHERE NOT (contains(path, 'node_modules') OR contains(path, 'dist/') OR contains(path, 'test_'))",
     "fn_ignore_names": "SELECT occurrence_key FROM (SELECT DISTINCT occurrence_key, qualname FROM roots) WHERE qualname IS NULL OR string_split(qualname, '.')[-1] NOT IN ('drain_prime', 'sort_dusky_invoice', 'align_dusky')",
     "file_language": f"""SELECT path, ext, CASE lower(ext) WHEN '.py' THEN 'Python' WHEN '.js' THEN 'JavaScript' WHEN '.tsx' THEN 'TypeScript' WHEN '.java' THEN 'Java' WHEN '.rs' THEN 'Rust' WHEN '.h' THEN 'C/C++ header' WHEN '.cpp' THEN 'C++' WHEN '.fsx' THEN 'F#' END AS lang,
@@ -274,5 +249,4 @@ SELECT *, CASE WHEN "precision" + recall = 0 THEN 0.0 ELSE 2 * "precision" * rec
     "names_and_imports": rf"""SELECT file, name, lineno, file || '::' || name || '::' || lineno AS occurrence_key, file || '::' || name || '::L' || lineno AS label, {_MODULE.format('file')} AS module,
   'from ' || {_MODULE.format('file')} || ' import ' || name || CASE WHEN name = 'x' THEN '' ELSE ' as x' END AS import_statement, substr(hash, 1, 16) AS short_hash, regexp_replace(file, '{_SLUG}', '_', 'g') AS slug
 FROM (SELECT DISTINCT hash, file, name, lineno FROM hash_index)""",
-    "stream_cluster_counts": 'SELECT semantic_hash, count(*) AS n, min(occur_id) AS "first" FROM occur WHERE semantic_hash IS NOT NULL GROUP BY 1',
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -29,7 +30,7 @@ def discover(spark: SparkSession, root: str, extensions: list[str], recursive: b
     """
     glob = "*{" + ",".join(extensions) + "}"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", glob).load(root)
-    base = root.rstrip("/")
+    base = re.escape(re.sub(r"^[a-z]+:(//)?", "", root).rstrip("/"))
     rel = F.regexp_replace(F.col("path"), "^[a-z]+:(//)?" + base + "/", "")
     out = raw.select("path", rel.alias("rel_path"), sql.extension(F.col("path")).alias("ext"), decoded(F.col("content"), errors).alias("content"), F.sha2("content", 256).alias("file_sha256"), "length")
     return out.withColumn("lang", language_of(F.col("ext")))

@@ -79,15 +79,6 @@ def python_classes(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     return joined.select("o_orderkey", "o_custkey", code.alias("code"), backwards.alias("reversed_code"))
 
 
-def java_nations(nation: DataFrame) -> DataFrame:
-    """nation with a Java-like class of two methods."""
-    code = _text(
-        "public class Nation~k~ {\n  private int v;\n  public static int region~k~(int a) {\n    if (a > ~r~) { return a; }\n    return ~r~;\n  }\n  public int key~k~(int b) {\n    return b * ~k~;\n  }\n}\n",
-        k=F.col("n_nationkey"), r=F.col("n_regionkey"),
-    )
-    return nation.select("n_nationkey", "n_name", F.lit("Java").alias("language"), code.alias("code"))
-
-
 EXTENSIONS = [".py", ".js", ".tsx", ".java", ".rs", ".H", ".txt", ".cpp", ".fsx", ""]
 FOLDERS = ["src", "node_modules", "lib/dist", ".cache", "tests", "app/build/x", "vendor", "pkg"]
 
@@ -101,3 +92,55 @@ def customer_files(customer: DataFrame) -> DataFrame:
     return customer.select(
         "c_custkey", F.concat(folder, F.lit("/"), name, ext).alias("path"), F.concat(F.lit("x = "), k.cast("string")).alias("content"), (k * 97).cast("long").alias("size"), F.when(k % 13 == 0, F.lit("tree")).otherwise(F.lit("blob")).alias("type")
     )
+
+
+#: Function blocks of languages without a parser here: language, code, and name, line and text of the block that is found
+#: (line as the quirky finder gives it), or None. ~k~ stands for the row's key, ~n~ for a number of the row.
+FUNCTION_BLOCKS: list[tuple[str, str, tuple[str, int, str] | None]] = [
+    ("Java", "public class J~k~ {\n  public static int f~k~(int a) {\n    return a + ~n~;\n  }\n}\n", ("f~k~", 1, "\n  public static int f~k~(int a) {\n    return a + ~n~;\n  }")),
+    ("C", "int c~k~(int a) {\n  return a * ~n~;\n}\n", ("c~k~", 1, "int c~k~(int a) {\n  return a * ~n~;\n}")),
+    ("C++", "// ~n~\nint p~k~(int a) {\n  return a - ~n~;\n}\n", ("p~k~", 1, "~n~\nint p~k~(int a) {\n  return a - ~n~;\n}")),
+    ("Rust", "fn r~k~(a: i32) -> i32 {\n    if a > ~n~ { a } else { ~n~ }\n}\n", ("r~k~", 1, "fn r~k~(a: i32) -> i32 {\n    if a > ~n~ { a } else { ~n~ }\n}")),
+    ("Go", "package m\nfunc (s *S) g~k~(a int) int {\n\treturn a + ~n~\n}\n", ("g~k~", 2, "func (s *S) g~k~(a int) int {\n\treturn a + ~n~\n}")),
+    ("Kotlin", "fun k~k~(a: Int): Int {\n    return a + ~n~\n}\n", ("k~k~", 1, "fun k~k~(a: Int): Int {\n    return a + ~n~\n}")),
+    ("Swift", "func s~k~(a: Int) -> Int {\n    return a + ~n~\n}\n", ("s~k~", 1, "func s~k~(a: Int) -> Int {\n    return a + ~n~\n}")),
+    ("Ruby", "# ~k~\n\ndef u~k~?(a)\n  a + ~n~\nend\n", ("u~k~?", 1, "def u~k~?(a)\n  a + ~n~\nend")),
+    ("PHP", "<?php\nfunction h~k~($a) {\n  return $a + ~n~;\n}\n", ("h~k~", 2, "function h~k~($a) {\n  return $a + ~n~;\n}")),
+    ("Dart", "int d~k~(int a) async {\n  return a + ~n~;\n}\n", ("d~k~", 1, "int d~k~(int a) async {\n  return a + ~n~;\n}")),
+    ("Scala", "def x~k~(a: Int): Int = {\n  a + ~n~\n}\n", None),
+    ("Elixir", "# ~n~\ndef e~k~(a) do\n  a + ~n~\nend\n", ("e~k~", 2, "def e~k~(a) do\n  a + ~n~\nend")),
+    ("Lua", "function l~k~(a)\n  return a + ~n~\nend\n", None),
+]
+#: Class blocks likewise, with what the first and the plain finder give.
+CLASS_BLOCKS: list[tuple[str, str, tuple[str, int, str] | None, tuple[str, int, str] | None]] = [
+    ("Java", "public class J~k~ {\n  int f(int a) { return a + ~n~; }\n}\n", ("J~k~", 1, "class J~k~ {\n  int f(int a) { return a + ~n~; }\n}"), ("J~k~", 1, "public class J~k~ {\n  int f(int a) { return a + ~n~; }\n}")),
+    ("Kotlin", "// class X\nopen class K~k~(val a: Int) {\n  fun f(b: Int): Int { return b + ~n~ }\n}\n", ("K~k~", 2, "class K~k~(val a: Int) {\n  fun f(b: Int): Int { return b + ~n~ }\n}"), ("K~k~", 2, "open class K~k~(val a: Int) {\n  fun f(b: Int): Int { return b + ~n~ }\n}")),
+    ("C++", "class P~k~ {\n  int f(int a) { return a + ~n~; }\n};\n", ("P~k~", 1, "class P~k~ {\n  int f(int a) { return a + ~n~; }\n}"), ("P~k~", 1, "class P~k~ {\n  int f(int a) { return a + ~n~; }\n}")),
+    ("Ruby", "# ~n~\nclass R~k~\n  def f(a)\n    a + ~n~\n  end\nend\n", ("R~k~", 2, "class R~k~\n  def f(a)\n    a + ~n~\n  end\nend"), ("R~k~", 2, "class R~k~\n  def f(a)\n    a + ~n~\n  end\nend")),
+    ("Rust", "struct S~k~ {\n  v: i32,\n}\nimpl S~k~ {\n  fn f(&self) -> i32 { self.v + ~n~ }\n}\n", ("S~k~", 1, "// struct S~k~\nstruct S~k~ {\n  v: i32,\n}\n// impl S~k~\nimpl S~k~ {\n  fn f(&self) -> i32 { self.v + ~n~ }\n}"), None),
+    ("Go", "type G~k~ struct {\n\tv int\n}\nfunc (g *G~k~) F() int {\n\treturn g.v + ~n~\n}\n", ("G~k~", 1, "// type G~k~ struct\ntype G~k~ struct {\n\tv int\n}\n// method\nfunc (g *G~k~) F() int {\n\treturn g.v + ~n~\n}"), None),
+    ("Lua", "-- class L~k~\nlocal x = ~n~\n", None, ("L~k~", 1, "-- class L~k~\nlocal x = ~n~")),
+]
+
+
+def customer_blocks(customer: DataFrame, blocks: list[tuple]) -> DataFrame:
+    """customer with a language and a code, one block after the other by key."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    at = k % len(blocks)
+    pick = lambda f: F.coalesce(*[F.when(at == i, f(b)) for i, b in enumerate(blocks)])
+    return customer.select("c_custkey", "c_nationkey", pick(lambda b: F.lit(b[0])).alias("language"), pick(lambda b: _text(b[1], k=k, n=n)).alias("code"))
+
+
+def part_files(part: DataFrame) -> DataFrame:
+    """Python files of the functions of python_parts: path, content with an import and the functions in order of key, five lines and a blank one each."""
+    rows = python_parts(part)
+    joined = rows.groupBy(F.col("file").alias("path")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "code"))).alias("_f"))
+    return joined.select("path", F.concat(F.lit("import os\n\n"), F.array_join(F.transform("_f", lambda x: x["code"]), "\n")).alias("content"))
+
+
+def js_files(part: DataFrame) -> DataFrame:
+    """JavaScript files of the functions of js_parts, one to a line."""
+    path = F.concat(F.lit("js/"), F.translate("p_brand", "#", "_"), F.lit(".js"))
+    rows = js_parts(part).join(part.select("p_partkey", path.alias("path")), "p_partkey")
+    joined = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "code"))).alias("_f"))
+    return joined.select("path", F.array_join(F.transform("_f", lambda x: x["code"]), "\n").alias("content"))
