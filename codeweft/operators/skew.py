@@ -1,8 +1,9 @@
 """Per-key results over heavily skewed keys.
 
-Rows are range-partitioned on (key, secondary order) with Spark's sampled quantiles, so that a heavy key is cut into
-several neighbouring ranges instead of filling one task. Each range reduces its rows to one partial state per key; the
-states of a key that crosses range borders are then stitched. Only the states, never the rows, meet in one task.
+Rows are reduced to one state for each (key, secondary value) before any exchange, so that a key of one secondary value
+is a state for each map task and no more. The states are range-partitioned on (key, secondary order) with Spark's
+sampled quantiles: a heavy key is cut into several neighbouring ranges instead of filling one task. Each range reduces
+its part to one state per key, and the states of a key that crosses range borders are stitched. Rows never meet in one task.
 """
 
 from __future__ import annotations
@@ -37,9 +38,9 @@ def skewed_key_stats(
     )
     names = [f"_k{i}" for i in range(len(keys))]
     by = [F.col(n) for n in names] + [F.col("_d")]
-    ranged = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
-    # The range partitioning already clusters (key, secondary), so this aggregation needs no further exchange.
-    states = ranged.groupBy(*names, "_d").agg(F.count(F.lit(1)).alias("_n"), F.min("_first").alias("_first"))
+    # Equal (key, secondary) rows are one state on the map side already, however many they are.
+    states = rows.groupBy(*names, "_d").agg(F.count(F.lit(1)).alias("_n"), F.min("_first").alias("_first"))
+    states = states.repartitionByRange(partitions, *by) if partitions else states.repartitionByRange(*by)
     # Stitching: the map side leaves one state per key and range, and the exchange carries these only.
     return (
         states.groupBy(*names)

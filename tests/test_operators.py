@@ -90,6 +90,39 @@ def test_reconcile_against_brute_force(spark, share):
     assert got == want
 
 
+def test_reconcile_keys_of_two_types(spark):
+    a = spark.createDataFrame([(i, "x") for i in range(300)], "id int, s string")
+    b = spark.createDataFrame([(i, "y" if i == 7 else "x") for i in range(299)], "id long, s string")
+    got = {(r.id, r["diff"]) for r in reconcile.reconcile(a, b, "id", {"s": "string"}).collect()}
+    assert got == {(7, "s"), (299, "missing_in_b")}
+
+
+def test_reconcile_wrong_roots_are_compared_exactly(spark, monkeypatch):
+    a = spark.createDataFrame([(i % 4, [i * 1000 + j for j in range(30)]) for i in range(4)], "bucket long, elements array<long>")
+    b = spark.createDataFrame([(i % 4, [i * 1000 + j for j in range(3, 31)]) for i in range(4)], "bucket long, elements array<long>")
+    right = [sorted((r.bucket, r.element) for r in x.collect()) for x in reconcile.differing_elements(a, b)]
+    honest = reconcile._solver
+
+    def lying(bound):
+        inner = honest(bound)
+
+        def run(frames):
+            for pdf in inner(frames):
+                pdf["num"] = [[5, 1] if k == 2 else n for k, n in zip(pdf.bucket, pdf.num)]  # a root that no side has
+                yield pdf
+
+        return run
+
+    monkeypatch.setattr(reconcile, "_solver", lying)
+    assert [sorted((r.bucket, r.element) for r in x.collect()) for x in reconcile.differing_elements(a, b)] == right
+
+
+def test_one_key_in_one_file_is_one_state(spark):
+    df = spark.createDataFrame([("h", "f", i) for i in range(5000)] + [("h", None, -1), (None, "f", 0)], "k string, f string, i long").repartition(8)
+    r = skew.skewed_key_stats(df, "k", "f", ["i"]).collect()
+    assert [(x.k, x.n_occurrences, x.n_distinct, x["first"].i) for x in r] == [("h", 5001, 1, -1)]
+
+
 def test_reconcile_empty_side(spark):
     one = spark.createDataFrame([("a", 1)], "id string, n int")
     none = one.limit(0)
