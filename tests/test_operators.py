@@ -119,7 +119,7 @@ def test_reconcile_wrong_roots_are_compared_exactly(spark, monkeypatch):
 
 def test_one_key_in_one_file_is_one_state(spark):
     df = spark.createDataFrame([("h", "f", i) for i in range(5000)] + [("h", None, -1), (None, "f", 0)], "k string, f string, i long").repartition(8)
-    r = skew.skewed_key_stats(df, "k", "f", ["i"]).collect()
+    r = skewed_key_stats(df, "k", "f", ["i"]).collect()
     assert [(x.k, x.n_occurrences, x.n_distinct, x["first"].i) for x in r] == [("h", 5001, 1, -1)]
 
 
