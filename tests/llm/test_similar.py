@@ -123,12 +123,12 @@ def test_repeats_against_brute_force(spark, copies):
     df = spark.createDataFrame(incoming + incoming[:30], "row_id long, batch int, hash string, text string, words string")
     kt = spark.createDataFrame([(t,) for t in known + [None, "", known[0]]], "text string")
     kh = spark.createDataFrame([(h,) for h in hashes], "hash string")
-    got = {r.row_id for r in history.repeats_of_known(df, kt, kh, 0.8, shards=3).collect()}
+    got = {r.row_id for r in history.repeats_of_known(df, kt, kh, 0.8).collect()}
     want = brute_repeats(incoming, known, hashes)
     assert got <= want and len(got) >= 0.99 * len(want)
     none = df.limit(0)
     assert history.repeats_of_known(none, kt, kh, 0.8).collect() == []
-    assert {r.row_id for r in history.repeats_of_known(df, kt.limit(0), kh.limit(0), 0.8, shards=2).collect()} == brute_repeats(incoming, [], [])
+    assert {r.row_id for r in history.repeats_of_known(df, kt.limit(0), kh.limit(0), 0.8).collect()} == brute_repeats(incoming, [], [])
 
 
 def test_graph_recall_against_exhaustive_search():
@@ -143,6 +143,35 @@ def test_graph_recall_against_exhaustive_search():
         if len(s & set(base[i])) / len(s | set(base[i])) >= 0.8:
             queries.append(sorted(s))
     flat = lambda sets: (np.array([x * 2654435761 % (1 << 31) for s in sets for x in s], dtype=np.int32), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
-    shard = history.Shard(*flat(base), np.full(len(base), -1))
-    found = shard.older_like(*flat(queries), np.arange(len(queries)), 0.8, exhaustive=False)
-    assert len(queries) > 200 and found.mean() >= 0.97
+    shard = history.Shard.build(*flat(base), np.full(len(base), -1), np.zeros(len(base), np.int64))
+    told = shard.tune(0.8)
+    ages = np.arange(len(queries))
+    found = shard.older_like(*flat(queries), ages, ages, 0.8, exhaustive=False)
+    assert len(queries) > 200 and found.mean() >= 0.97 and told >= 0.97
+    again = history.Shard.load({**shard.stored(), "width": shard.width})
+    assert (again.older_like(*flat(queries), ages, ages, 0.8, exhaustive=False) == found).all()
+
+
+def test_batches_one_by_one_read_no_earlier_text(spark, tmp_path):
+    """The same repeats batch by batch as at once, over compactions, with an index that is opened anew each time."""
+    rng = random.Random(3)
+    texts = make_texts(rng, 400, 8)
+    rng.shuffle(texts)
+    known, new = texts[:120], texts[120:]
+    big = 1 << 41
+    incoming = [(big + i, i * 9 // len(new), rng.choice([None, f"h{rng.randrange(300)}"]), t) for i, t in enumerate(new)]
+    hashes = [f"h{i}" for i in range(20)]
+    schema = "row_id long, batch int, hash string, text string"
+    where = str(tmp_path / "index")
+    first = history.HistoryIndex(spark, where, 0.8)
+    first.add_history(spark.createDataFrame([(t,) for t in known], "text string"), spark.createDataFrame([(h,) for h in hashes], "hash string"))
+    got = set()
+    for b in range(9):
+        index = history.HistoryIndex(spark, where)
+        got |= {r.row_id for r in index.check(spark.createDataFrame([r for r in incoming if r[1] == b], schema)).collect()}
+    want = brute_repeats(incoming, known, hashes)
+    assert got <= want and len(got) >= 0.99 * len(want)
+    assert len(index.segments) < 6 and max(level for _, level in index.segments) >= 1
+    assert index.report().agg({"n": "sum"}).first()[0] > 0 and index.report().filter("recall < 0.9").count() == 0
+    at_once = history.repeats_of_known(spark.createDataFrame(incoming, schema), spark.createDataFrame([(t,) for t in known], "text string"), spark.createDataFrame([(h,) for h in hashes], "hash string"), 0.8)
+    assert {r.row_id for r in at_once.collect()} == got
