@@ -1,9 +1,10 @@
 """Literal credentials in source text: where they begin, and the text with their values blanked out.
 
 A text is scanned by context rules (names, headers, addresses, command lines, calls, remarks) and by the forms of well
-known tokens. Literals that are base64, hex, percent- or backslash-encoded are decoded and scanned again, up to DEPTH
-layers, and binary results are read by the grammar of key containers (DER and the OpenSSH container). A finding inside
-a decoded layer stands for the enclosing literal, which is what gets blanked.
+known tokens. Literals that are base64, hex, percent- or backslash-encoded are decoded and scanned again, layer by layer
+as long as anything decodes, for every layer is shorter than the one around it; binary results are read by the grammar
+of key containers (DER and the OpenSSH container). A finding inside a decoded layer stands for the enclosing literal,
+which is what gets blanked.
 """
 
 from __future__ import annotations
@@ -20,9 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 4
-
-
 class Finding(NamedTuple):
     start: int
     end: int
@@ -210,8 +208,12 @@ _CHAIN = re.compile(rf"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]++(?:{_GLUE}[A-Za-z0
 _GLUED = re.compile(_GLUE)
 #: First characters of hex, and of base64 whose first byte begins a printable text or a key container.
 _FIRST = frozenset("ABCDEFIJKLMNOPQRSTUVWXYZabcdefwxyz0123456789")
-_ESCAPED = re.compile(r"(?:\\x[0-9a-fA-F]{2}|\\u00[0-9a-fA-F]{2}|\\[0-7]{3}){6,}")
-_PERCENT = re.compile(r"(?:[\w.\-~+/:=@!]*%[0-9a-fA-F]{2}){4,}[\w.\-~+/:=@!]*")
+#: Backslash and percent codes, and what can enclose them: a quoted literal, or a run without blanks and quotes.
+_ESCAPE = re.compile(r"\\+(?:x([0-9a-fA-F]{2})|u([0-9a-fA-F]{4})|u\{([0-9a-fA-F]{1,5})\}|([0-3][0-7]{2}))")
+_PERCENT = re.compile(r"%[0-9a-fA-F]{2}")
+#: A percent sign that is encoded once or many times and begins a code.
+_PERCENTS = re.compile(r"%(?:25)+(?=[0-9a-fA-F]{2})")
+_LITERALS = (re.compile(r"""(?P<q>["'`])(?P<v>(?:(?!(?P=q))(?:\\.|[^\\\n]))*)(?P=q)""", re.S), re.compile(r"""(?P<v>[^\s"'`]+)"""))
 #: Word parts without which a group of rules can't apply, so that most texts are passed over quickly.
 _TALK = re.compile(r"pass|pwd|pw|kennwort|contrase|secret|token|key|bearer|credential|senha|parola|sifre|wachtwoord|used to be|formerly|previously").search
 _ACCOUNT = re.compile(r"log[ -]?in|account|access|cred|sign[ -]?in|user").search
@@ -256,10 +258,37 @@ def _runs(text: str) -> Iterator[tuple[int, int, str]]:
                 yield part[0][0], part[-1][1], "".join(text[a:z] for a, z in part)
 
 
-def _nested(text: str, depth: int) -> Iterator[Finding]:
-    """Encoded literals whose decoded layer holds a credential."""
-    if depth >= DEPTH:
-        return
+def _unescaped(text: str) -> str:
+    """Backslash codes decoded, again and again until none is left."""
+    while True:
+        new = _ESCAPE.sub(lambda m: chr(int(m.group(4), 8) if m.group(4) else int(m.group(1) or m.group(2) or m.group(3), 16)), text)
+        if new == text:
+            return text
+        text = new
+
+
+def _unquoted(text: str) -> str:
+    """Percent codes decoded, again and again until none is left; codes of no UTF-8 text stay."""
+    while _PERCENT.search(text):
+        try:
+            new = unquote(_PERCENTS.sub("%", text), errors="strict")
+        except UnicodeDecodeError:
+            return text
+        if new == text:
+            return text
+        text = new
+    return text
+
+
+def _nested(text: str, seen: set[str]) -> Iterator[Finding]:
+    """Encoded literals whose decoded layer holds a credential. seen: layers that were scanned before, each once."""
+
+    def holds(inner: str | None) -> bool:
+        if not inner or len(inner) < 8 or inner in seen:
+            return False
+        seen.add(inner)
+        return any(True for _ in scan(inner, seen))
+
     signed = [m.span() for m in _JWT.finditer(text)] if "eyJ" in text else []
     for start, end, run in _runs(text):
         if any(a < end and start < z for a, z in signed):
@@ -268,15 +297,17 @@ def _nested(text: str, depth: int) -> Iterator[Finding]:
             if kind := private_container(data):
                 yield Finding(start, end, f"container:{kind}")
                 break
-            inner = _printable(data)
-            if inner and len(inner) >= 8 and any(True for _ in scan(inner, depth + 1)):
+            if holds(_printable(data)):
                 yield Finding(start, end, "encoded")
                 break
-    for rx, decode in ((_ESCAPED, lambda s: s.encode().decode("unicode_escape", "ignore")), (_PERCENT, unquote)):
-        for m in rx.finditer(text):
-            inner = decode(m.group())
-            if inner != m.group() and any(True for _ in scan(inner, depth + 1)):
-                yield Finding(m.start(), m.end(), "encoded")
+    for code, decode in ((_ESCAPE, _unescaped), (_PERCENT, _unquoted)):
+        if not code.search(text):
+            continue
+        for m in (m for rx in _LITERALS for m in rx.finditer(text)):
+            if code.search(m.group("v")):
+                inner = decode(m.group("v"))
+                if inner != m.group("v") and holds(_printable(inner.encode("utf-8", "replace"))):
+                    yield Finding(m.start("v"), m.end("v"), "encoded")
 
 
 def _joined(text: str, m: re.Match) -> tuple[str, int]:
@@ -288,8 +319,8 @@ def _joined(text: str, m: re.Match) -> tuple[str, int]:
     return value, end
 
 
-def scan(text: str, depth: int = 0) -> Iterator[Finding]:
-    """Credentials of a text, in no order; one may be found by several rules."""
+def scan(text: str, seen: set[str] | None = None) -> Iterator[Finding]:
+    """Credentials of a text, in no order; one may be found by several rules. seen: given for a decoded layer."""
     low = text.lower()
     talk = _TALK(low)
     if "PRIVATE KEY" in text:
@@ -297,7 +328,9 @@ def scan(text: str, depth: int = 0) -> Iterator[Finding]:
             body = re.sub(r"\\n|\\r|[\s\"'+.]", "", m.group("body"))
             if len(re.sub(r"[^A-Za-z0-9+/=]", "", body)) >= 32 and "..." not in m.group("body"):
                 end = m.end("body")
-                yield Finding(m.start(), max(end, m.end() if m.group(0).endswith("-----") else end), "private key")
+                # what the armour says is read by its grammar where it decodes; a damaged or made-up body is still a key block
+                inner = next((k for d in _decodings(re.sub(r"[^A-Za-z0-9+/=]", "", body)) if (k := private_container(d))), None)
+                yield Finding(m.start(), max(end, m.end() if m.group(0).endswith("-----") else end), f"private key:{inner}" if inner else "private key")
     if "eyJ" in text:
         for m in _JWT.finditer(text):
             if m.group().split(".")[2]:
@@ -353,11 +386,11 @@ def scan(text: str, depth: int = 0) -> Iterator[Finding]:
         for m in _PAIR.finditer(said):
             if looks_secret(m.group("v")):
                 yield Finding(at + m.start("v"), at + m.end("v"), "login remark")
-    if depth and re.fullmatch(r"[\w.\-]+:\S{6,}", text):
+    if seen is not None and re.fullmatch(r"[\w.\-]+:\S{6,}", text):
         user, _, word = text.partition(":")
         if _USER.fullmatch(user) and looks_secret(word):
             yield Finding(0, len(text), "decoded login")
-    yield from _nested(text, depth)
+    yield from _nested(text, set() if seen is None else seen)
 
 
 def _by_name(text: str) -> Iterator[Finding]:
@@ -399,9 +432,13 @@ def _by_name(text: str) -> Iterator[Finding]:
 
 
 def findings(text: str | None) -> list[Finding]:
-    """Non-overlapping findings in order of place; of overlapping ones, all that they cover counts as one."""
+    """Non-overlapping findings in order of place; of overlapping ones, all that they cover counts as one. An enclosing
+    literal counts for what only its decoded layer shows: where it holds a finding of its own, that one stands."""
+    found = sorted(scan(text)) if text else []
+    plain = [f for f in found if f.kind != "encoded"]
+    found = [f for f in found if f.kind != "encoded" or not any(f.start <= p.start and p.end <= f.end for p in plain)]
     out: list[Finding] = []
-    for f in sorted(scan(text)) if text else []:
+    for f in found:
         if out and f.start < out[-1].end:
             out[-1] = out[-1]._replace(end=max(out[-1].end, f.end))
         else:
@@ -461,6 +498,27 @@ def find_credentials(df: DataFrame, row_id: str, text: str) -> DataFrame:
     return found.groupBy("k", "line_no").agg(F.min("kind").alias("kind")).withColumnRenamed("k", row_id)
 
 
+def scan_table(df: DataFrame, row_id: str, text: str) -> DataFrame:
+    """(row_id, text redacted, found array<struct<line_no int, kind string>>) of every row, from one pass over the texts.
+
+    Null and empty texts stay as they are and have no findings; repeated rows stay.
+    """
+    kind = dict(df.dtypes)[row_id]
+    told = pa.list_(pa.struct([("line_no", pa.int32()), ("kind", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, lines = [], []
+            for t in b.column(1).to_pylist():
+                found = findings(t)
+                texts.append(blank(t, found) if found else t)
+                lines.append([{"line_no": n, "kind": f.kind} for f, n in zip(found, line_of(t, [f.start for f in found]))] if found else [])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(lines, told)], names=["k", "t", "found"])
+
+    out = df.select(F.col(row_id).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, t string, found array<struct<line_no int, kind string>>")
+    return out.select(F.col("k").alias(row_id), F.col("t").alias(text), "found")
+
+
 def redact(df: DataFrame, text: str) -> DataFrame:
     """df with the values of all credentials in one text column blanked out; every other character stays in place.
 

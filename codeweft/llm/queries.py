@@ -58,13 +58,15 @@ def p1_links(spark: SparkSession, d: str) -> DataFrame:
     return links.select(F.col("id").alias("class_id"), "set_class_id", "n_links")
 
 
+_P2 = (("extract_all_functions", "fn_id", "body_src"), ("ai_pack_store", "store_id", "original_src"))
+
+
 def _p2(spark: SparkSession, d: str) -> DataFrame:
-    parts = [("extract_all_functions", "fn_id", "body_src"), ("ai_pack_store", "store_id", "original_src")]
     found = [
         credentials.find_credentials(_texts(spark, d, t, i, c), i, c).select(
             F.lit(t).alias("src_table"), F.col(i).alias("row_id"), "line_no", "kind"
         )
-        for t, i, c in parts
+        for t, i, c in _P2
     ]
     return found[0].unionByName(found[1])
 
@@ -78,12 +80,11 @@ def p2_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
-    one = credentials.redact(table(spark, d, "extract_all_functions").select("fn_id", "body_src"), "body_src")
-    two = credentials.redact(table(spark, d, "ai_pack_store").select("store_id", "original_src"), "original_src")
-    return (
-        one.select(F.lit("extract_all_functions").alias("src_table"), F.col("fn_id").alias("row_id"), F.col("body_src").alias("text"))
-        .unionByName(two.select(F.lit("ai_pack_store").alias("src_table"), F.col("store_id").alias("row_id"), F.col("original_src").alias("text")))
-    )
+    """Both columns blanked, with the lines and kinds of what was found, from one pass over the texts."""
+    found = [
+        credentials.scan_table(_texts(spark, d, t, i, c), i, c).select(F.lit(t).alias("src_table"), F.col(i).alias("row_id"), F.col(c).alias("text"), "found") for t, i, c in _P2
+    ]
+    return found[0].unionByName(found[1])
 
 
 _P3 = ("fn_id", "repo", "rel_file", "body_src")

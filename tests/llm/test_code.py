@@ -69,6 +69,58 @@ NOT_FOUND = [
 ]
 
 
+def _layers(text, n):
+    for i in range(n):
+        text = base64.b64encode(text.encode()).decode() if i % 3 else text.encode().hex()
+    return text
+
+
+#: Found in a decoded layer only: no context rule sees them from outside.
+DECODED_ONLY = [
+    'v = "' + _layers('pwd="kQ29!xzp"', 7) + '"',
+    'v = "' + _layers('{"password":"kQ29!xzp77"}', 9) + '"',
+    'v = "user%3Dbob%26password%3D%22kQ29!xzp%22"',
+    'v = "p%2561ssword%253D%2527kQ29!xzp%2527"',
+    'v = "\\x70assword=\'kQ29!xzp\'"'.replace("\\'", "'"),
+    "v = `pass\\u0077ord: 'kQ29!xzp'`",
+    "v = '\\\\x70wd = \"kQ29!xzp\"'",
+    'v = "' + base64.b64encode(DER).decode() + '"',
+    'v = "' + _layers("-----BEGIN EC PRIVATE KEY-----\n" + "aB3" * 20 + "\n-----END EC PRIVATE KEY-----", 2) + '"',
+    'v = "' + b64u.decode() + '"' if (b64u := base64.urlsafe_b64encode(b'{"client_secret": "kQ29!xzp77"}')) else "",
+]
+
+
+@pytest.mark.parametrize("text", DECODED_ONLY)
+def test_credentials_of_decoded_layers_alone(text, monkeypatch):
+    found = credentials.findings(text)
+    assert len(found) == 1 and credentials.findings(credentials.blank(text, found)) == []
+    monkeypatch.setattr(credentials, "_nested", lambda *a: iter(()))
+    assert credentials.findings(text) == []
+
+
+def test_own_finding_stands_inside_an_encoded_literal():
+    text = 'u = "postgres://app:8x!kQ2%40z@db.example:5432/x"'
+    assert [text[f.start : f.end] for f in credentials.findings(text)] == ["8x!kQ2%40z"]
+
+
+def test_key_blocks_are_read_by_their_grammar():
+    key = base64.b64encode(DER).decode()
+    assert credentials.findings(f"-----BEGIN PRIVATE KEY-----\n{key}\n-----END PRIVATE KEY-----")[0].kind == "private key:pkcs8"
+    assert credentials.findings(PEM)[0].kind == "private key"
+
+
+def test_long_chains_of_codes_end():
+    assert credentials.findings("x = '" + "%25" * 30_000 + "41'") == []
+    assert credentials.findings("x = '" + "\\" * 5000 + "x41'") == []
+
+
+def test_scan_table(spark):
+    rows = [(1, 'a = 1\npassword = "kQ29!xzp"', "clash"), (2, None, "c"), (3, "", "c"), (1, 'a = 1\npassword = "kQ29!xzp"', "clash")]
+    got = credentials.scan_table(spark.createDataFrame(rows, "id long, src string, found string"), "id", "src").collect()
+    assert [(r.id, r.src) for r in got] == [(1, 'a = 1\npassword = "********"'), (2, None), (3, ""), (1, 'a = 1\npassword = "********"')]
+    assert [[(f.line_no, f.kind) for f in r.found] for r in got] == [[(2, "named literal")], [], [], [(2, "named literal")]]
+
+
 @pytest.mark.parametrize("text, lines", FOUND)
 def test_credentials_found(text, lines):
     found = credentials.findings(text)
