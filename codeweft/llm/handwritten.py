@@ -1,7 +1,7 @@
 """Files that no person wrote: generated, minified or bundled, vendored, or data saved as code.
 
-Every function is lexed and re-emitted in a canonical layout; the original layout is compared with it. A text that the
-canonical layout makes many times longer was minified; lines of one token pattern repeated at a short period were
+Every function is lexed and emitted again in a canonical layout, and the gaps between its tokens and its line breaks are
+compared with those of the original. A text that the canonical layout makes many times longer was minified; lines of one token pattern repeated at a short period were
 written by a tool; literals that leave no room for code are data. Remarks at the head, well known path parts and the
 token multisets of known library functions complete the picture. Features are taken per function, before any shuffle,
 and only they are brought together per file.
@@ -28,6 +28,10 @@ _LEX = re.compile(
 _STATEMENT_WORDS = set("if for while switch catch return function let const var new try else do case default break throw".split())
 _SPACED = set("= == === != !== < > <= >= + - * / % && || ?? => += -= *= /= ? : & | ^ << >> ,".split())
 
+#: Tokens that stay on the line of the closing brace or statement before them.
+_STAYS = {"else", "catch", "finally", ")", ",", ";"}
+_FRAME_WORDS = {"return", "const", "let", "var", "module", "exports", "export", "default"}
+
 #: Remarks by which tools mark their output, in a few languages, at the start of a remark.
 _TOOL_REMARK = re.compile(
     r"""^[\s/*#!<\-]*(?:eslint-disable[^/\n]*\*/\s*//\s*)?(?:
@@ -87,68 +91,97 @@ def _uniform(shapes: list[str]) -> bool:
     return False
 
 
-def layout(text: str) -> Layout:
-    """Original against canonical layout of one function or file. An empty text has zero lines."""
-    lines: dict[int, list[str]] = defaultdict(list)
-    tokens: Counter = Counter()
-    canonical = gaps = closed = code = literal = 0
-    words: list[str] = []
-    tool = library = False
-    line = at = 0
-    depth = 0
-    last, last_end, breaks = "", 0, False
+class Tok(NamedTuple):
+    kind: str
+    text: str
+    line: int
+    #: What stands before it in the original: nothing, blanks, or a line end.
+    gap: int
+
+
+NONE, BLANK, BREAK = range(3)
+
+
+def lex(text: str) -> tuple[list[Tok], list[str]]:
+    """Tokens and remarks of a source in C-like syntax; whatever stands there, lexing never fails."""
+    tokens, remarks = [], []
+    line = end = 0
     for m in _LEX.finditer(text):
-        kind, tok = m.lastgroup, m.group()
-        line += text.count("\n", at, m.start())
-        at = m.start()
-        if kind == "c":
-            tool = tool or bool(_TOOL_REMARK.search(tok))
-            library = library or bool(_LIBRARY_REMARK.search(tok))
-            continue
-        # where the canonical layout breaks or spaces between the last token and this one
-        space = breaks or last in _SPACED or tok in _SPACED or tok == "{" or (last == ")" and kind == "w") or last == "}"
-        if last and tok not in (";", ",", ")") and last not in ("(",) and space:
-            gaps += 1
-            closed += m.start() == last_end
-        if breaks and tok not in ("else", "catch", "finally", ")", ",", ";") or not last:
-            canonical += 1
-        breaks = (tok == ";" and depth == 0) or tok == "{" or tok == "}"
-        if tok == "(":
-            depth += 1
-        elif tok == ")":
-            depth = max(0, depth - 1)
-        elif tok in "{}":
-            depth = 0
-            if tok == "}" and last not in ("{", "}", ";", ""):
-                canonical += 1  # the statement before gets a line end
-            elif tok == "}" and not breaks:
-                canonical += 1
-        if kind == "s":
-            literal += len(tok)
-            shape = "S"
-        elif kind == "n":
-            literal += len(tok)
-            shape = "N"
-        elif kind == "w":
-            if tok not in ("return", "const", "let", "var", "module", "exports", "export", "default"):
-                words.append(tok)
-            shape = tok if tok in _STATEMENT_WORDS else "I"
+        between = text[end : m.start()]
+        feeds = between.count("\n")
+        line += feeds
+        tok = m.group()
+        if m.lastgroup == "c":
+            remarks.append(tok)
         else:
-            shape = tok
-            if tok in ",[]:-" and last:
-                literal += 1
-        tokens[tok] += 1
-        code += len(tok)
-        lines[line].append(shape)
+            tokens.append(Tok(m.lastgroup, tok, line, BREAK if feeds else BLANK if between else NONE))
         line += tok.count("\n")
-        at = m.end()
-        last, last_end = tok, m.end()
-    shapes = [re.sub(r"\[(?:-?[NS],?)+\]", "[]", "".join(x)) for _, x in sorted(lines.items())]
-    body = [s for s in shapes if s not in ("{", "}", "};")]
+        end = m.end()
+    return tokens, remarks
+
+
+def canonical_gaps(tokens: list[Tok]) -> list[int]:
+    """What the canonical layout puts before each token: a statement to a line, blocks on lines of their own, blanks round operators."""
+    out: list[int] = []
+    depth, last, ended = 0, None, False
+    for t in tokens:
+        tok = t.text
+        if last is None:
+            gap = BREAK
+        elif (ended and tok not in _STAYS) or tok == "}":
+            gap = BREAK
+        elif tok in (";", ",", ")") or last.text == "(":
+            gap = NONE
+        elif ended or last.text in _SPACED or tok in _SPACED or tok == "{" or (last.text == ")" and t.kind == "w"):
+            gap = BLANK
+        else:
+            gap = BLANK if last.kind in "wn" and t.kind in "wn" else NONE
+        out.append(gap)
+        depth = depth + 1 if tok == "(" else max(0, depth - 1) if tok == ")" else 0 if tok in "{}" else depth
+        ended = tok in "{}" or (tok == ";" and depth == 0)
+        last = t
+    return out
+
+
+def canonical(text: str) -> str:
+    """The source written anew in the canonical layout, without its remarks."""
+    tokens, _ = lex(text)
+    lines: list[list[str]] = []
+    level = 0
+    for t, gap in zip(tokens, canonical_gaps(tokens)):
+        level = max(0, level - (t.text == "}"))
+        if gap == BREAK:
+            lines.append(["  " * level])
+        elif gap == BLANK:
+            lines[-1].append(" ")
+        lines[-1].append(t.text)
+        level += t.text == "{"
+    return "\n".join("".join(x) for x in lines)
+
+
+def layout(text: str) -> Layout:
+    """Original against canonical layout of one function or file. An empty text has zero lines."""
+    tokens, remarks = lex(text)
+    wanted = canonical_gaps(tokens)
+    counts = Counter(t.text for t in tokens)
+    # gaps that could be closed: two words always stand apart
+    gaps = [t.gap for b, t, g in zip(tokens, tokens[1:], wanted[1:]) if g != NONE and not (g == BLANK and b.kind in "wn" and t.kind in "wn" and b.text not in _SPACED)]
+    shapes: dict[int, list[str]] = defaultdict(list)
+    code = literal = 0
+    words: list[str] = []
+    for i, t in enumerate(tokens):
+        shapes[t.line].append({"s": "S", "n": "N"}.get(t.kind) or (t.text if t.kind == "p" or t.text in _STATEMENT_WORDS else "I"))
+        code += len(t.text)
+        literal += len(t.text) if t.kind in "sn" else i > 0 and t.kind == "p" and t.text in ",[]:-"
+        if t.kind == "w" and t.text not in _FRAME_WORDS:
+            words.append(t.text)
+    lines = [re.sub(r"\[(?:-?[NS],?)+\]", "[]", "".join(x)) for _, x in sorted(shapes.items())]
+    body = [s for s in lines if s not in ("{", "}", "};")]
     # a literal given back at once, or named and given back, and nothing else
-    alone = tokens[";"] <= 1 and len(words) <= 1 or tokens[";"] == 2 and len(words) == 2 and len(set(words)) == 1
+    alone = counts[";"] <= 1 and len(words) <= 1 or counts[";"] == 2 and len(words) == 2 and len(set(words)) == 1
     data = literal if literal >= DATA_CHARS and literal >= DATA_SHARE * code and alone else 0
-    return Layout(len(shapes), canonical, gaps, closed, code, data, _uniform(body), tool, library, tokens)
+    told = any(_TOOL_REMARK.search(r) for r in remarks), any(_LIBRARY_REMARK.search(r) for r in remarks)
+    return Layout(len(lines), wanted.count(BREAK), len(gaps), gaps.count(NONE), code, data, _uniform(body), *told, counts)
 
 
 class LibraryIndex:
@@ -184,30 +217,50 @@ class LibraryIndex:
         return False
 
 
+#: Catalogue entries that a task holds at a time; a larger catalogue is compared block by block.
+CATALOG_BLOCK = 20_000
+
+
+def _catalog_blocks(catalog: DataFrame | None) -> list[list[str]]:
+    """Bodies of a catalogue in blocks of bounded size."""
+    if catalog is None:
+        return [[]]
+    bodies = catalog.select("body_src").filter("body_src is not null")
+    blocks = max(1, math.ceil(bodies.count() / (CATALOG_BLOCK // 2)))
+    at = F.pmod(F.xxhash64("body_src"), F.lit(blocks))
+    return [[r[0] for r in bodies.filter(at == i).collect()] for i in range(blocks)]
+
+
 def file_features(df: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
     """One row for each file (repo, rel_file) with what its layout, remarks and path tell.
 
     df: rows fn_id, repo, rel_file, body_src, one for each function; redelivered rows count once. catalog: known library
-    functions (body_src), a table of fixed, small size. Null bodies count as empty.
+    functions (body_src), compared in blocks of at most CATALOG_BLOCK. Null bodies count as empty.
     """
-    bodies = [r[0] for r in catalog.select("body_src").collect()] if catalog is not None else []
-    held: list[LibraryIndex] = []
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            held.append(LibraryIndex(bodies))
-        for b in batches:
-            rows = [layout(t or "") for t in b.column("body_src").to_pylist()]
-            cols = [pa.array([x[i] for x in rows], pa.int64()) for i in range(6)]
-            cols += [pa.array([x[i] for x in rows], pa.bool_()) for i in range(6, 9)]
-            cols.append(pa.array([held[0].has_like(x.tokens) for x in rows], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([b.column(n) for n in ("fn_id", "repo", "rel_file")] + cols, names=names)
-
     numbers = ["lines", "canonical_lines", "gaps", "closed_gaps", "code_chars", "data_chars"]
     flags = ["uniform", "tool_remark", "library_remark", "library_like"]
     names = ["fn_id", "repo", "rel_file", *numbers, *flags]
     schema = "fn_id long, repo string, rel_file string, " + ", ".join([f"{n} long" for n in numbers] + [f"{n} boolean" for n in flags])
-    rows = df.select("fn_id", "repo", "rel_file", "body_src").mapInArrow(run, schema)
+
+    def compared(bodies: list[str]):
+        held: list[LibraryIndex] = []
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if not held:
+                held.append(LibraryIndex(bodies))
+            for b in batches:
+                rows = [layout(t or "") for t in b.column("body_src").to_pylist()]
+                cols = [pa.array([x[i] for x in rows], pa.int64()) for i in range(6)]
+                cols += [pa.array([x[i] for x in rows], pa.bool_()) for i in range(6, 9)]
+                cols.append(pa.array([held[0].has_like(x.tokens) for x in rows], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([b.column(n) for n in ("fn_id", "repo", "rel_file")] + cols, names=names)
+
+        return run
+
+    rows = None
+    for bodies in _catalog_blocks(catalog):
+        part = df.select("fn_id", "repo", "rel_file", "body_src").mapInArrow(compared(bodies), schema)
+        rows = part if rows is None else rows.unionByName(part)
     once = rows.groupBy("repo", "rel_file", "fn_id").agg(
         *[F.max(n).alias(n) for n in numbers], *[F.max(n).alias(n) for n in flags]
     )
@@ -235,7 +288,9 @@ def not_handwritten(df: DataFrame, catalog: DataFrame | None = None) -> DataFram
 
 
 def handwritten_rows(df: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
-    """The rows of the files that remain, each fn_id once."""
+    """(fn_id, repo, rel_file, body_src) of the files that remain, each fn_id of a file once."""
     bad = not_handwritten(df, catalog).select(F.col("repo").alias("_r"), F.col("rel_file").alias("_f"))
-    rows = df.select("fn_id", "repo", "rel_file").distinct()
-    return rows.join(bad, rows.repo.eqNullSafe(bad._r) & rows.rel_file.eqNullSafe(bad._f), "left_anti")
+    # one exchange by file serves the removal of repeats and the join
+    rows = df.select("fn_id", "repo", "rel_file", "body_src").repartition("repo", "rel_file").groupBy("repo", "rel_file", "fn_id").agg(F.first("body_src").alias("body_src"))
+    out = rows.join(bad.hint("merge"), rows.repo.eqNullSafe(bad._r) & rows.rel_file.eqNullSafe(bad._f), "left_anti")
+    return out.select("fn_id", "repo", "rel_file", "body_src")

@@ -90,3 +90,15 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str, text: str, source: str
         F.coalesce(F.col("mixed_tokens") / F.col("whole"), F.lit(0.0)).alias("actual_share"),
     )
     return chosen, report
+
+
+def copies(chosen: DataFrame, doc_id: str) -> DataFrame:
+    """(doc_id, source, n_tokens, copy_no int from 0): every text taken, once for each of its repeats."""
+    return chosen.select(doc_id, "source", "n_tokens", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)).alias("copy_no"))
+
+
+def emit(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, source, copy_no, text): the mix itself. doc_id must be unique in docs and chosen; copies are made behind
+    the join, so that a text crosses the network once."""
+    rows = chosen.select(doc_id, "source", "repeats").join(docs.select(doc_id, text), doc_id)
+    return rows.select(doc_id, "source", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)).alias("copy_no"), text)

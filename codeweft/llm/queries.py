@@ -137,6 +137,13 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return chosen
 
 
+def p9_copies(spark: SparkSession, d: str) -> DataFrame:
+    """The mix itself: every text as often as it is taken."""
+    docs = table(spark, d, "documents")
+    chosen, _ = mixing.mix(_texts(spark, d, "documents", "doc_id", "text", "source"), table(spark, d, "mix_targets"), "doc_id", "text", "source")
+    return mixing.emit(docs, chosen, "doc_id", "text")
+
+
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     _, report = mixing.mix(_texts(spark, d, "documents", "doc_id", "text", "source"), table(spark, d, "mix_targets"), "doc_id", "text", "source")
     return report
@@ -167,6 +174,7 @@ QUERIES = {
     "p7_rates_lang": p7_rates_lang,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
+    "p9_copies": p9_copies,
     "p9_shares": p9_shares,
     "p10_pieces": p10_pieces,
 }

@@ -236,6 +236,8 @@ def split_texts(df: DataFrame, key: str, text: str, limit: int, overlap: int, na
     """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be smaller than the limit")
+    if not isinstance(tokens.coder(name, folder), tokens.SegmentIds):
+        raise ValueError("pieces are cut by byte-level vocabularies: of others, token counts don't add up over parts")
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,4 @@
-"""Encoding with public tokenizers, byte-level and otherwise.
+"""Encoding with public tokenizers: byte-level ones of two file formats, and others by whole texts.
 
 The byte-level vocabularies split a text by a fixed pattern and encode each split on its own, so a worker keeps the ids
 of the splits it has met: the tokenizers library is asked once per new split, in batches. Ids are joined as raw int32
@@ -7,6 +7,8 @@ bytes, lines met before are looked up whole, and all reach Arrow without passing
 
 from __future__ import annotations
 
+import base64
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -29,15 +31,11 @@ LONGEST_KEPT = 64
 class SplitIds(dict):
     """Ids of each split, as int32 bytes."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+    def __init__(self, encode: Callable[[str], list[int]]):
+        self.encode = encode
 
     def __missing__(self, split: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(split, add_special_tokens=False).ids, dtype=np.int32).tobytes()
+        ids = np.array(self.encode(split), dtype=np.int32).tobytes()
         if len(split) <= LONGEST_KEPT:
             if len(self) >= CACHE:
                 self.clear()
@@ -55,11 +53,11 @@ LONGEST_SEGMENT = 256
 
 
 class SegmentIds(dict):
-    """Ids of whole lines met before; other lines are put together from their splits."""
+    """Ids of whole lines met before; other lines are put together from their splits. For byte-level vocabularies."""
 
     def __init__(self, path: str):
-        self.splits = SplitIds(path)
-        self.tokenizer = self.splits.tokenizer
+        encode, self.table, self.tokenizer = (_from_ranks if path.endswith(".tiktoken") else _from_json)(path)
+        self.splits = SplitIds(encode)
 
     def __missing__(self, line: str) -> bytes:
         if len(line) > 24 and (m := _TIMES(line)):
@@ -74,27 +72,95 @@ class SegmentIds(dict):
         return ids
 
 
-_CODERS: dict[str, SegmentIds] = {}
+class WholeTexts:
+    """Ids of whole texts, for vocabularies that see more than a split: nothing can be cut or kept."""
+
+    def __init__(self, encode: Callable[[str], list[int]], decode: Callable[[list[int]], str], tokenizer: object):
+        self.encode, self.decode, self.tokenizer = encode, decode, tokenizer
+
+    def __getitem__(self, text: str) -> bytes:
+        return np.array(self.encode(text), dtype=np.int32).tobytes()
+
+
+Coder = SegmentIds | WholeTexts
+_CODERS: dict[str, Coder] = {}
+
+
+def _library(path: str):  # type: ignore[no-untyped-def]
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return tokenizer, lambda s: tokenizer.encode(s, add_special_tokens=False).ids
+
+
+def _from_json(path: str) -> tuple[Callable[[str], list[int]], list[bytes], object]:
+    """Encoder, bytes of each id, and tokenizer of a byte-level vocabulary."""
+    tokenizer, encode = _library(path)
+    alphabet, vocab = byte_alphabet(), tokenizer.get_vocab()
+    table = [b""] * (max(vocab.values()) + 1)
+    for token, i in vocab.items():
+        table[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
+    return encode, table, tokenizer
+
+
+def _from_ranks(path: str) -> tuple[Callable[[str], list[int]], list[bytes], object]:
+    import tiktoken
 
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    encoding = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    table = [b""] * (max(ranks.values()) + 1)
+    for raw, i in ranks.items():
+        table[i] = raw
+    return encoding.encode_ordinary, table, encoding
 
-def coder(name: str = DEFAULT_TOKENIZER, folder: str | None = None) -> SegmentIds:
-    path = f"{folder or TOKENIZER_DIR}/{name}.json"
-    if path not in _CODERS:
-        _CODERS[path] = SegmentIds(path)
-    return _CODERS[path]
+
+def _json_coder(path: str) -> Coder:
+    """Byte-level vocabularies with the known split and no normalising are cut and kept, others encode whole texts."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    before = made.get("pre_tokenizer") or {}
+    if not made.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space"):
+        return SegmentIds(path)
+    tokenizer, encode = _library(path)
+    return WholeTexts(encode, lambda ids: tokenizer.decode(ids, skip_special_tokens=False), tokenizer)
+
+
+def _piece_coder(path: str) -> Coder:
+    import sentencepiece
+
+    processor = sentencepiece.SentencePieceProcessor(model_file=path)
+    return WholeTexts(lambda s: processor.encode(s, num_threads=1), processor.decode, processor)
+
+
+#: By the ending of a vocabulary file.
+_MAKERS = {".json": _json_coder, ".tiktoken": SegmentIds, ".model": _piece_coder}
+
+
+def coder(name: str = DEFAULT_TOKENIZER, folder: str | None = None) -> Coder:
+    """The coder of a vocabulary file, by its name with or without ending. Unknown kinds are refused."""
+    for ending, make in _MAKERS.items():
+        path = f"{folder or TOKENIZER_DIR}/{name.removesuffix(ending)}{ending}"
+        if (name.endswith(ending) or not name.endswith(tuple(_MAKERS))) and os.path.exists(path):
+            if path not in _CODERS:
+                _CODERS[path] = make(path)
+            return _CODERS[path]
+    raise ValueError(f"no vocabulary file of a known kind: {folder or TOKENIZER_DIR}/{name}")
 
 
 def segments(text: str) -> list[str]:
-    """Parts of a text whose ids are the text's ids when joined; all but the first begin with a line feed."""
+    """Parts of a text whose byte-level ids are the text's ids when joined; all but the first begin with a line feed."""
     return _SEGMENTS(text)
 
 
-def encode_bytes(text: str, ids: SegmentIds) -> bytes:
+def encode_bytes(text: str, ids: Coder) -> bytes:
     """Ids of a text as int32 bytes."""
-    return b"".join(map(ids.__getitem__, _SEGMENTS(text)))
+    return b"".join(map(ids.__getitem__, _SEGMENTS(text))) if isinstance(ids, SegmentIds) else ids[text]
 
 
-def encode(text: str | None, ids: SegmentIds) -> np.ndarray:
+def encode(text: str | None, ids: Coder) -> np.ndarray:
     return np.frombuffer(encode_bytes(text, ids), dtype=np.int32) if text else np.zeros(0, np.int32)
 
 
@@ -108,9 +174,6 @@ def encode_offsets(text: str, ids: SegmentIds) -> tuple[np.ndarray, np.ndarray]:
     return toks, chars[starts] if len(toks) else starts.astype(np.int64)
 
 
-_BYTES: dict[int, list[bytes]] = {}
-
-
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-in of each byte in byte-level vocabularies: printable Latin-1 stays, the rest moves up from U+0100."""
     keep = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -118,25 +181,15 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in keep} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def token_bytes(ids: SegmentIds) -> list[bytes]:
-    if id(ids) not in _BYTES:
-        alphabet = byte_alphabet()
-        vocab = ids.tokenizer.get_vocab()
-        out = [b""] * (max(vocab.values()) + 1)
-        for token, i in vocab.items():
-            out[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
-        _BYTES[id(ids)] = out
-    return _BYTES[id(ids)]
-
-
 def byte_lengths(ids: SegmentIds) -> np.ndarray:
-    return np.array([len(b) for b in token_bytes(ids)], dtype=np.int64)
+    return np.array([len(b) for b in ids.table], dtype=np.int64)
 
 
-def decode(token_ids, ids: SegmentIds) -> str:
-    """The text of a list of ids; characters split over ids are joined from their bytes."""
-    table = token_bytes(ids)
-    return b"".join(table[i] for i in token_ids).decode("utf-8", "replace")
+def decode(token_ids, ids: Coder) -> str:  # type: ignore[no-untyped-def]
+    """The text of a list of ids; byte-level characters split over ids are joined from their bytes."""
+    if isinstance(ids, WholeTexts):
+        return ids.decode([int(i) for i in token_ids])
+    return b"".join(ids.table[i] for i in token_ids).decode("utf-8", "replace")
 
 
 def int_lists(chunks: list[bytes]) -> pa.ListArray:

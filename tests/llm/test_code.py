@@ -212,6 +212,7 @@ def test_files(spark):
     got = {r.rel_file: r.reason for r in handwritten.not_handwritten(df, catalog).collect()}
     assert got == {"src/b.js": "minified", "src/c.js": "generated", "vendor/x/d.js": "vendored", "src/g.js": "vendored", "src/h.generated.ts": "generated", "lib/k.min.js": "minified", "src/l.js": "data"}
     assert {r.fn_id for r in handwritten.handwritten_rows(df, catalog).collect()} == {1, 5, 6, 9, 10, 11}
+    assert all(r.body_src is not None for r in handwritten.handwritten_rows(df, catalog).collect() if r.fn_id == 1)
     assert handwritten.not_handwritten(df.limit(0), catalog).collect() == []
 
 
@@ -325,3 +326,21 @@ def test_source_tables(spark):
     rates = {r.repo: (r.n_files, r.n_broken, r.rate) for r in pysyntax.broken_rates(df, "repo", "file", "t", ["repo"]).collect()}
     assert rates == {"r": (2, 1, 0.5), "s": (1, 1, 1.0)}
     assert pysyntax.broken_files(df.limit(0), "repo", "file", "t").collect() == []
+
+
+@pytest.mark.parametrize("text", [HAND, MINI, TABLE, "", "f(", "if(a){b()}else{c()}", "x={a:1,b:[2,3]};return x", "for(;;){}", "}}}"])
+def test_canonical_layout_is_its_own(text):
+    once = handwritten.canonical(text)
+    assert handwritten.canonical(once) == once
+    own = handwritten.layout(once)
+    assert own.canonical_lines == len([x for x in once.split("\n") if x]) and not own.closed_gaps
+    assert [t.text for t in handwritten.lex(once)[0]] == [t.text for t in handwritten.lex(text)[0]]
+
+
+def test_catalogue_in_blocks(spark, monkeypatch):
+    bodies = [f"function f{i}(alpha, beta) {{ const total{i} = alpha * {i} + beta; return total{i} - alpha / {i + 2}; }}" for i in range(40)]
+    catalog = spark.createDataFrame([(b,) for b in bodies] + [(None,)], "body_src string")
+    df = spark.createDataFrame([(i, "r", f"src/m{i}.js", b) for i, b in enumerate(bodies)] + [(99, "r", "src/own.js", "function own(q) { return q; }")], "fn_id long, repo string, rel_file string, body_src string")
+    want = {r.rel_file for r in handwritten.not_handwritten(df, catalog).collect()}
+    monkeypatch.setattr(handwritten, "CATALOG_BLOCK", 12)
+    assert {r.rel_file for r in handwritten.not_handwritten(df, catalog).collect()} == want and len(want) == 40

@@ -43,6 +43,43 @@ def test_offsets(ids):
     assert at[0] == 0 and at[-1] == len(text) - 1 and all(a <= b for a, b in zip(at, at[1:]))
 
 
+OTHERS = ["word_bpe_49k", "piece_bpe_32k", "byte_bpe_multi_50k", "byte_bpe_50k.tiktoken"]
+
+
+@pytest.mark.parametrize("name", OTHERS)
+def test_other_vocabularies_as_their_libraries(name):
+    import base64
+
+    import sentencepiece
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    where = tokens.TOKENIZER_DIR
+    if name.startswith("word"):
+        t = Tokenizer.from_file(f"{where}/{name}.json")
+        t.encode_special_tokens = True
+        right = lambda s: t.encode(s, add_special_tokens=False).ids
+    elif name.startswith("piece"):
+        p = sentencepiece.SentencePieceProcessor(model_file=f"{where}/{name}.model")
+        right = p.encode
+    else:
+        at = f"{where}/{name}" if name.endswith(".tiktoken") else f"{where}/{name}.tiktoken"
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(at, "rb"))}
+        right = tiktoken.Encoding("own", pat_str=tokens.SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    ids = tokens.coder(name)
+    for text in [*HARD, "Ünï CÖDE\n\nMixed\tCase  123,456.78\n"]:
+        assert tokens.encode(text, ids).tolist() == list(right(text)), text
+        if not name.startswith(("word", "piece")):
+            assert tokens.decode(tokens.encode(text, ids), ids) == text
+
+
+def test_unknown_vocabularies_are_refused(spark):
+    with pytest.raises(ValueError):
+        tokens.coder("nothing_like_it")
+    with pytest.raises(ValueError):
+        splitting.split_texts(spark.createDataFrame([(1, "a")], "i long, t string"), "i", "t", 10, 2, name="word_bpe_49k")
+
+
 def test_cache_limit_changes_nothing(ids, monkeypatch):
     monkeypatch.setattr(tokens, "CACHE", 3)
     small = tokens.SegmentIds(f"{tokens.TOKENIZER_DIR}/byte_bpe_50k.json")
@@ -159,5 +196,8 @@ def test_mix(spark):
     assert abs(shares["big"].actual_share - 0.9) < 0.04 and shares["none"].mixed_tokens == 0
     assert abs(sum(r.actual_share for r in shares.values()) - 1) < 1e-9
     assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(docs, targets, "doc_id", "text", "source", total=8000)[0].collect()))
+    made = mixing.copies(chosen, "doc_id").collect()
+    assert {(r.doc_id, r.copy_no) for r in made} == {(r.doc_id, i) for r in rows for i in range(r.repeats)}
+    assert mixing.emit(docs, chosen, "doc_id", "text").count() == len(made)
     empty, report = mixing.mix(docs.limit(0), targets, "doc_id", "text", "source")
     assert empty.collect() == [] and all(r.actual_share == 0 for r in report.collect())
