@@ -344,3 +344,52 @@ def test_catalogue_in_blocks(spark, monkeypatch):
     want = {r.rel_file for r in handwritten.not_handwritten(df, catalog).collect()}
     monkeypatch.setattr(handwritten, "CATALOG_BLOCK", 12)
     assert {r.rel_file for r in handwritten.not_handwritten(df, catalog).collect()} == want and len(want) == 40
+
+
+def test_costs_are_functions_of_the_text_alone(spark):
+    """Same costs in any order, with cold and warm workers; a part beyond the chart's work has a lower bound."""
+    texts = [x for x in BAD + GOOD] + ["def f(a, b):\n    return a b c d e\n", "word " * 9, "int main(int a) { if (a > 1) { return a; } else { return b; } }"]
+    alone = {}
+    for x in texts:
+        pysyntax._COSTS.clear()
+        pysyntax._ZERO.clear()
+        alone[x] = pysyntax.examine(x)
+    rng = random.Random(2)
+    for _ in range(3):
+        rng.shuffle(texts)
+        assert all(pysyntax.examine(x) == alone[x] for x in texts)
+    df = spark.createDataFrame([("r", str(i), x) for i, x in enumerate(texts) if "\0" not in x], "repo string, file string, src string").repartition(3)
+    for r in pysyntax.check_sources(df, ["repo", "file", "src"], "src").collect():
+        want, exact = alone[r.src]
+        assert (r.cost, tuple(r.lines), r.kind, r.exact, r.broken) == (*want, exact, want.cost > 0)
+
+
+def test_bounds_lose_no_repair(monkeypatch):
+    """The pruned search against one that has no bounds."""
+    g = Grammar("s: e ';'?\ne: t ('+' t)*\nt: 'x' | '(' e ')' | 'f' '(' e (',' e)* ')'")
+    rng = random.Random(6)
+    texts = [tuple(rng.choice("x+();f,?") for _ in range(rng.randrange(1, 9))) for _ in range(150)]
+    pruned = [g.least_repair(x, "s", 10**9) for x in texts]
+    monkeypatch.setattr(Grammar, "apart", lambda self, tokens: [0] * (len(tokens) + 1))
+    monkeypatch.setattr(Grammar, "reach", lambda self, tokens, start: len(tokens))
+    for x, (cost, places, sure) in zip(texts, pruned):
+        if not g.accepts(x, "s"):
+            assert sure and len(places) == cost
+        free = next(got for most in range(1, 20) if (got := g.repair(x, "s", most)))
+        assert free[0] == cost, x
+
+
+def test_small_work_gives_a_lower_bound():
+    tokens = ("NAME",) * 12
+    cost, places, sure = pysyntax.LINE.least_repair(tokens, "simple", 10)
+    best, _, proven = pysyntax.LINE.least_repair(tokens, "simple", 10**9)
+    assert not sure and proven and 1 <= cost <= best and places
+
+
+@pytest.mark.parametrize("text, kind", [("def f(a):\n    return (a +", "truncation"), ("x = 1\ny = foo(1,\n", "truncation"), ("x = 1\ny = 2\nz = a b + c\n", "damage"), ("x = 1\n<<<<<<< HEAD\ny = 1\n=======\ny = 2\n>>>>>>> b\nz = 3\nq = 4\n", "conflict"), ("int main(int a) { return a; }", "mismatch")])
+def test_kinds_from_edit_places(text, kind):
+    assert pysyntax.damage(text).kind == kind
+
+
+def test_conflict_marks_in_a_string_are_no_conflict():
+    assert pysyntax.damage("s = \"\"\"\n<<<<<<< HEAD\n\"\"\"\nx = = 1\ny = 2\nz = 3\n").kind == "damage"
