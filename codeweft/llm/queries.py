@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.llm import credentials, handwritten, history, mixing, pysyntax, setjoin, splitting, tokens
@@ -156,6 +156,80 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_texts(_texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text", PIECE_TOKENS, PIECE_OVERLAP)
 
 
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of the texts that the ids of all documents decode to."""
+    back = tokens.decode_table(p8_ids(spark, d), "doc_id", "ids")
+    return back.select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+def p10_joined(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of the texts that the pieces of all documents make when they are put together without their overlaps."""
+    pieces = splitting.split_texts(_texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text", PIECE_TOKENS, PIECE_OVERLAP, places=True)
+    over = F.count_if(F.col("n_tokens") > PIECE_TOKENS)
+    sizes = pieces.groupBy("doc_id").agg(over.alias("n_over"))
+    return splitting.joined(pieces, "doc_id").join(sizes, "doc_id").select("doc_id", F.sha2("text", 256).alias("text_sha256"), "n_over")
+
+
+#: Lines that hold a credential, in layers, or nothing but what resembles one. ~k~ is the row's key.
+_PLANTED = [
+    ("base64", 'password = "kQ29!xz~k~"'), ("twice", '{"client_secret":"kQ29!xz~k~"}'), ("hex", "pwd='kQ29!xz~k~'"), ("percent", 'passwd%3D%22kQ29!xz~k~%22'),
+    ("base64", "the quick brown fox ~k~ jumps over the lazy dog"), ("hex", "release notes of build ~k~"), ("none", "id-~k~"),
+]
+
+
+def credentials_planted(spark: SparkSession, d: str) -> DataFrame:
+    """Credentials that only decoded layers show, planted in texts of customers, among harmless encoded lines."""
+    k = F.col("c_custkey")
+
+    def line(form: str, text: str) -> Column:
+        plain = F.replace(F.lit(text), F.lit("~k~"), k.cast("string"))
+        once = F.base64(F.encode(plain, "UTF-8"))
+        coded = {"base64": once, "twice": F.base64(F.encode(once, "UTF-8")), "hex": F.lower(F.hex(F.encode(plain, "UTF-8"))), "percent": plain, "none": plain}[form]
+        return F.concat(F.lit('// line one\nload("'), F.regexp_replace(coded, r"\s", ""), F.lit('");\n'))
+
+    code = F.coalesce(*[F.when(k % len(_PLANTED) == i, line(*p)) for i, p in enumerate(_PLANTED)])
+    rows = spread(table(spark, d, "customer").select("c_custkey")).select("c_custkey", code.alias("code"))
+    return credentials.find_credentials(rows, "c_custkey", "code").select("c_custkey", "line_no", "kind")
+
+
+#: Python sources with their damage: broken, cost, kind. ~k~ is the row's key.
+_DAMAGED = [
+    ("def f~k~(a):\n    return a + ~k~\n", 0, None),
+    ("def f~k~(a)\n    return a + ~k~\n\n\nx = 1\ny = 2\nz = 3\n", 1, "damage"),
+    ("x = 1\ny = 2\n\n\ndef f~k~(a):\n    return (a + ~k~", 1, "truncation"),
+    ("x = 1\ny = 2\nz = 3\n\n\ndef f~k~(a):\n", 1, "truncation"),
+    ("a = 1\nb = 2\n<<<<<<< HEAD\nx = ~k~\n=======\nx = 2\n>>>>>>> other\nc = 3\nd = 4\n", None, "conflict"),
+    ("int f~k~(int a, int b) { return a; }", None, "mismatch"),
+]
+
+
+def syntax_planted(spark: SparkSession, d: str) -> DataFrame:
+    """Damage of Python sources planted by customer; costs are told where the least edits are plain to see."""
+    k = F.col("c_custkey")
+    text = F.coalesce(*[F.when(k % len(_DAMAGED) == i, F.replace(F.lit(p[0]), F.lit("~k~"), k.cast("string"))) for i, p in enumerate(_DAMAGED)])
+    rows = spread(table(spark, d, "customer").select("c_custkey")).select("c_custkey", text.alias("src"))
+    told = (k % len(_DAMAGED)).isin(*[i for i, p in enumerate(_DAMAGED) if p[1] is not None])
+    found = pysyntax.check_sources(rows, ["c_custkey"], "src")
+    return found.select("c_custkey", "broken", "kind", F.when(told, F.col("cost")).alias("cost"))
+
+
+#: Files with the reason why they aren't hand-written: minified, generated, data, or none.
+_WRITTEN = [
+    ("{\n  const a = read(~k~);\n  if (a > 1) {\n    return a - 1;\n  }\n  return send(a);\n}", None),
+    ("{const a=read(~k~);if(a>1){b(a)}else{c(a)}d(a);e(a);f(a);g(a);for(;;){h(a);break}return a}", "minified"),
+    ("{\n" + "".join(f"  set('k{i}', ~k~);\n" for i in range(12)) + "}", "generated"),
+    ("{\n  return \"" + "aB3+" * 60 + "~k~\";\n}", "data"),
+]
+
+
+def layout_planted(spark: SparkSession, d: str) -> DataFrame:
+    """Files told by their layout alone: their paths, remarks and tokens say nothing."""
+    k = F.col("c_custkey")
+    body = F.coalesce(*[F.when(k % len(_WRITTEN) == i, F.replace(F.lit(p[0]), F.lit("~k~"), k.cast("string"))) for i, p in enumerate(_WRITTEN)])
+    rows = spread(table(spark, d, "customer").select("c_custkey")).select(k.alias("fn_id"), F.lit("r").alias("repo"), F.concat(F.lit("src/f"), k.cast("string"), F.lit(".js")).alias("rel_file"), body.alias("body_src"))
+    return handwritten.not_handwritten(rows).select("rel_file", "reason")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pairs": p1_pairs,
@@ -177,6 +251,11 @@ QUERIES = {
     "p9_copies": p9_copies,
     "p9_shares": p9_shares,
     "p10_pieces": p10_pieces,
+    "p8_decoded": p8_decoded,
+    "p10_joined": p10_joined,
+    "credentials_planted": credentials_planted,
+    "syntax_planted": syntax_planted,
+    "layout_planted": layout_planted,
 }
 _P1 = """
 WITH c AS (SELECT DISTINCT class_id, class_hash, list_distinct(list_transform(methods, lambda x: x.hash)) AS hs, true AS own FROM classes
@@ -215,7 +294,16 @@ m AS (SELECT class_id, len(hs) AS n, unnest(hs) AS h FROM s),
 p AS (SELECT a.class_id AS class_id_a, b.class_id AS class_id_b, count(*) AS k, max(greatest(a.n, b.n)) AS larger
       FROM m a JOIN m b ON a.h = b.h AND a.class_id < b.class_id GROUP BY 1, 2)
 SELECT class_id_a, class_id_b, k / larger AS similarity FROM p WHERE k * 4 >= larger * 3"""
+def _cases(values: list[str | None]) -> str:
+    return f"CASE c_custkey % {len(values)} " + " ".join(f"WHEN {i} THEN " + ("NULL" if v is None else repr(v)) for i, v in enumerate(values)) + " END"
+
+
 SQL: dict[str, str] = {
+    "p8_decoded": "SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
+    "p10_joined": "SELECT doc_id, sha256(text) AS text_sha256, 0::BIGINT AS n_over FROM documents WHERE length(text) > 0",
+    "credentials_planted": "SELECT c_custkey, 2 AS line_no, 'encoded' AS kind FROM customer WHERE c_custkey % 7 < 4",
+    "syntax_planted": f"SELECT c_custkey, c_custkey % 6 <> 0 AS broken, {_cases([x[2] for x in _DAMAGED])} AS kind, {_cases([x[1] for x in _DAMAGED])} AS cost FROM customer",
+    "layout_planted": f"SELECT 'src/f' || c_custkey || '.js' AS rel_file, {_cases([x[1] for x in _WRITTEN])} AS reason FROM customer WHERE c_custkey % 4 > 0",
     "p1_sets": _P1_SETS,
     "p1_links": _P1_LINKS,
     "p5_found": _P5,

@@ -226,8 +226,10 @@ def split_batch(texts: list[str | None], limit: int, overlap: int, ids) -> list[
     return [[(t[a:z], k) for a, z, k in p] for t, p in zip(texts, spans)]
 
 
-def split_texts(df: DataFrame, key: str, text: str, limit: int, overlap: int, name: str = tokens.DEFAULT_TOKENIZER, folder: str | None = None) -> DataFrame:
-    """(key, piece_no int from 0, text, n_tokens long) of every row.
+def split_texts(
+    df: DataFrame, key: str, text: str, limit: int, overlap: int, name: str = tokens.DEFAULT_TOKENIZER, folder: str | None = None, places: bool = False
+) -> DataFrame:
+    """(key, piece_no int from 0, text, n_tokens long) of every row; with places also start long, the character it starts at.
 
     Every piece has at most limit tokens, except that a single character may have more where limit is below its own
     number. Neighbours share at most overlap tokens and at least half of that, as far as characters can be told apart;
@@ -245,17 +247,26 @@ def split_texts(df: DataFrame, key: str, text: str, limit: int, overlap: int, na
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
-                pieces = split_batch(b.column(1).to_pylist(), limit, overlap, ids)
+                texts = b.column(1).to_pylist()
+                pieces = split_spans(texts, limit, overlap, ids)
                 rows = [i for i, p in enumerate(pieces) for _ in p]
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).take(pa.array(rows, pa.int64())),
                         pa.array([j for p in pieces for j in range(len(p))], pa.int32()),
-                        pa.array([t for p in pieces for t, _ in p], pa.string()),
-                        pa.array([k for p in pieces for _, k in p], pa.int64()),
+                        pa.array([t[a:z] for t, p in zip(texts, pieces) for a, z, _ in p], pa.string()),
+                        pa.array([k for p in pieces for _, _, k in p], pa.int64()),
+                        pa.array([a for p in pieces for a, _, _ in p], pa.int64()),
                     ],
-                    names=["k", "piece_no", "text", "n_tokens"],
+                    names=["k", "piece_no", "text", "n_tokens", "start"],
                 )
 
-    out = df.select(F.col(key).alias("k"), F.col(text).alias("v")).mapInArrow(run, f"k {kind}, piece_no int, text string, n_tokens long")
-    return out.withColumnRenamed("k", key)
+    out = df.select(F.col(key).alias("k"), F.col(text).alias("v")).mapInArrow(run, f"k {kind}, piece_no int, text string, n_tokens long, start long")
+    return (out if places else out.drop("start")).withColumnRenamed("k", key)
+
+
+def joined(pieces: DataFrame, key: str) -> DataFrame:
+    """(key, text, n_pieces): the texts put together again from pieces with places. A text's pieces meet in one row, as it did."""
+    gathered = pieces.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("piece_no", "start", "text"))).alias("_p"))
+    whole = F.expr("aggregate(_p, '', (acc, p) -> concat(acc, substring(p.text, int(length(acc) - p.start + 1))))")
+    return gathered.select(key, whole.alias("text"), F.size("_p").alias("n_pieces"))

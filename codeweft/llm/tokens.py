@@ -228,3 +228,17 @@ def count_tokens(df: DataFrame, key: str, text: str, name: str = DEFAULT_TOKENIZ
     make = lambda chunks: pa.array([len(c) // 4 for c in chunks], pa.int64())
     out = _map_text(df, key, text, f"k {kind}, v long", make, name, folder)
     return out.select(F.col("k").alias(key), F.col("v").alias("n_tokens"))
+
+
+def decode_table(df: DataFrame, key: str, ids: str, name: str = DEFAULT_TOKENIZER, folder: str | None = None) -> DataFrame:
+    """(key, text) of every row of ids; an empty list gives an empty text, null gives null."""
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = coder(name, folder)
+        for b in batches:
+            texts = [None if x is None else decode(x, known) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["k", "v"])
+
+    out = df.select(F.col(key).alias("k"), F.col(ids).alias("v")).mapInArrow(run, f"k {kind}, v string")
+    return out.select(F.col("k").alias(key), F.col("v").alias("text"))
