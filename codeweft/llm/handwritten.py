@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _LEX = re.compile(
-    r"""(?P<c>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<s>"(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?|`(?:[^`\\]|\\.)*`?)
-    |(?P<n>0[xXbBoO][\da-fA-F_]+|(?:\d[\d_]*\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)|(?P<w>[A-Za-z_$\u0080-\U0010ffff][\w$]*)
+    r"""(?P<w>[A-Za-z_$\u0080-\U0010ffff][\w$]*)|(?P<c>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<s>"(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?|`(?:[^`\\]|\\.)*`?)
+    |(?P<n>0[xXbBoO][\da-fA-F_]+|(?:\d[\d_]*\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)
     |(?P<p>===|!==|\*\*=|\.\.\.|>>>|=>|&&|\|\||\?\?|\?\.|\+\+|--|[-+*/%=<>!&|^]=|<<|>>|[^\s\w])""",
     re.X | re.S,
 )
@@ -107,16 +107,20 @@ def lex(text: str) -> tuple[list[Tok], list[str]]:
     tokens, remarks = [], []
     line = end = 0
     for m in _LEX.finditer(text):
-        between = text[end : m.start()]
-        feeds = between.count("\n")
-        line += feeds
-        tok = m.group()
-        if m.lastgroup == "c":
+        start, stop = m.span()
+        gap = NONE
+        if start > end:
+            feeds = text.count("\n", end, start)
+            line += feeds
+            gap = BREAK if feeds else BLANK
+        kind, tok, end = m.lastgroup, m.group(), stop
+        if kind == "c":
             remarks.append(tok)
-        else:
-            tokens.append(Tok(m.lastgroup, tok, line, BREAK if feeds else BLANK if between else NONE))
-        line += tok.count("\n")
-        end = m.end()
+            line += tok.count("\n")
+            continue
+        tokens.append(Tok(kind, tok, line, gap))
+        if kind == "s":
+            line += tok.count("\n")
     return tokens, remarks
 
 
