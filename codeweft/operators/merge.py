@@ -77,13 +77,8 @@ def apply_js(files: DataFrame, plan: DataFrame, path: str = "path", content: str
     removals = every.groupBy(F.col("file").alias(path)).agg(F.sort_array(F.collect_set(F.struct("name", "canonical_name"))).alias("_r"))
 
     def one(text: str | None, wanted: list) -> str:
-        new = text or ""
-        for r in wanted:
-            new = pysource.remove_js_function(new, r["name"])
-            if r["name"] != r["canonical_name"]:
-                new = pysource.rename_js_calls(new, r["name"], r["canonical_name"])
-            new = pysource.add_js_import(new, r["canonical_name"])
-        return new
+        names = {r["name"]: r["canonical_name"] for r in wanted}
+        return pysource.rewrite_js(text or "", names, sorted(set(names.values())))
 
     @F.pandas_udf("string")
     def rewrite(text: pd.Series, wanted: pd.Series) -> pd.Series:

@@ -15,6 +15,11 @@ def _text(template: str, **parts: Column) -> Column:
     return F.concat(*out)
 
 
+def _wide(df: DataFrame) -> int:
+    """Partitions for rows whose parsing costs much more than their size tells."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, shuffle_partitions(df.sparkSession))
+
+
 def python_parts(part: DataFrame) -> DataFrame:
     """part with a Python function: names vary by key, the only kept literal is p_size."""
     k = F.col("p_partkey")
@@ -68,9 +73,7 @@ def python_classes(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """
     method = _text("    def m~l~(self, x~k~):\n        return x~k~ * ~q~\n", k=F.col("l_orderkey"), l=F.col("l_linenumber"), q=F.col("l_quantity").cast("int"))
     # the partitions are set here once, for grouping, joining and the costly parsing that follows
-    spark = lineitem.sparkSession
-    n = max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark))
-    body = lineitem.repartition(n, "l_orderkey").groupBy("l_orderkey").agg(
+    body = lineitem.repartition(_wide(lineitem), "l_orderkey").groupBy("l_orderkey").agg(
         F.sort_array(F.collect_list(F.struct("l_linenumber", "l_quantity", method.alias("m")))).alias("_m")
     )
     joined = orders.join(body, orders.o_orderkey == body.l_orderkey)
@@ -133,7 +136,7 @@ def customer_blocks(customer: DataFrame, blocks: list[tuple]) -> DataFrame:
 
 def part_files(part: DataFrame) -> DataFrame:
     """Python files of the functions of python_parts: path, content with an import and the functions in order of key, five lines and a blank one each."""
-    rows = python_parts(part)
+    rows = python_parts(part).repartition(_wide(part), "file")
     joined = rows.groupBy(F.col("file").alias("path")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "code"))).alias("_f"))
     return joined.select("path", F.concat(F.lit("import os\n\n"), F.array_join(F.transform("_f", lambda x: x["code"]), "\n")).alias("content"))
 
@@ -141,6 +144,6 @@ def part_files(part: DataFrame) -> DataFrame:
 def js_files(part: DataFrame) -> DataFrame:
     """JavaScript files of the functions of js_parts, one to a line."""
     path = F.concat(F.lit("js/"), F.translate("p_brand", "#", "_"), F.lit(".js"))
-    rows = js_parts(part).join(part.select("p_partkey", path.alias("path")), "p_partkey")
+    rows = js_parts(part).join(part.select("p_partkey", path.alias("path")), "p_partkey").repartition(_wide(part), "path")
     joined = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "code"))).alias("_f"))
     return joined.select("path", F.array_join(F.transform("_f", lambda x: x["code"]), "\n").alias("content"))
