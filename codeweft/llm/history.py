@@ -45,6 +45,7 @@ MARGIN = 0.12
 WORDS = 8
 #: Sets of a shard at most, about 550 bytes each with 60 words; queries that meet a shard at a time.
 SHARD_SETS = 50_000
+SHARDS_PER_FILE = 4
 BLOCK_QUERIES = 20_000
 #: A beam is widened until it finds this share of what exhaustive search finds, on so many queries of the shard.
 BEAM_RECALL, TUNED_ON, WIDEST = 0.99, 100, 192
@@ -322,7 +323,9 @@ class HistoryIndex:
         for band, (start, n) in starts.items():
             home = F.when(F.col("band") == band, F.lit(start) + F.pmod(F.xxhash64("set_id"), F.lit(n)).cast("int")).otherwise(home)
         placed = sized.withColumn("shard", home.cast("int")).repartition(self._parts(), "shard")
-        placed.groupBy("shard").applyInArrow(_builder(name, self.threshold), _SHARD).write.parquet(f"{self.path}/{name}/shards")
+        # few rows to a file, as a writer or reader may hold all rows of one at a time
+        built = placed.groupBy("shard").applyInArrow(_builder(name, self.threshold), _SHARD)
+        built.write.option("maxRecordsPerFile", SHARDS_PER_FILE).parquet(f"{self.path}/{name}/shards")
         sets.select("set_id", "batch", "row").write.parquet(f"{self.path}/{name}/sets")
         hashes.write.parquet(f"{self.path}/{name}/hashes")
         self._commit([*kept, (name, level)])
