@@ -18,29 +18,45 @@ from codeweft.functions.sql import document
 log = logging.getLogger(__name__)
 
 
-def explode_text(df: DataFrame, inputs: list[str], make: Callable[..., list[tuple]], schema: str) -> DataFrame:
-    """All columns of df with the rows that make gives for the input columns of each row, numbered by walk_ord from 0.
+#: Rows, and bytes of texts and of columns that come along, after which a batch goes out.
+OUT_ROWS, OUT_BYTES = 10_000, 8 << 20
 
-    Rows for which make gives nothing vanish. Null inputs are passed on as None. Columns of df that clash with those of
-    schema give way.
+
+def explode_text(df: DataFrame, inputs: list[str], make: Callable[..., list[tuple]], schema: str, keep: list[str] | None = None) -> DataFrame:
+    """Columns of df with the rows that make gives for the input columns of each row, numbered by walk_ord from 0.
+
+    keep: the columns that come along, all by default. Each row that make gives has a copy of them, so a text that gives
+    many rows should stay behind. Rows for which make gives nothing vanish. Null inputs are passed on as None. Columns of
+    df that clash with those of schema give way. A worker holds one row's input and result and one batch that goes out.
     """
     given = StructType.fromDDL(schema)
-    keep = [c for c in df.columns if c not in given.fieldNames() and c != "walk_ord"]
+    keep = [c for c in (df.columns if keep is None else keep) if c not in given.fieldNames() and c != "walk_ord"]
     whole = StructType([f for f in df.schema.fields if f.name in keep] + [*given.fields, *StructType.fromDDL("walk_ord int").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = to_arrow_schema(given)
+
+        def batch(b: pa.RecordBatch, rows: list[int], found: list[tuple], order: list[int]) -> pa.RecordBatch:
+            taken = [b.column(c).take(pa.array(rows, pa.int64())) for c in keep]
+            made = [pa.array(list(c), f.type) for c, f in zip(zip(*found), target)]
+            return pa.RecordBatch.from_arrays([*taken, *made, pa.array(order, pa.int32())], names=[*keep, *target.names, "walk_ord"])
+
         for b in batches:
-            rows, found, order = [], [], []
-            for i, args in enumerate(zip(*(b.column(f"_in_{c}").to_pylist() for c in inputs))):
-                for j, x in enumerate(make(*args)):
+            given_columns, kept_columns = [b.column(f"_in_{c}") for c in inputs], [b.column(c) for c in keep]
+            rows, found, order, size = [], [], [], 0
+            for i in range(b.num_rows):
+                kept = sum(c.slice(i, 1).nbytes for c in kept_columns)
+                for j, x in enumerate(make(*(c[i].as_py() for c in given_columns))):
+                    more = kept + sum(len(v) for v in x if isinstance(v, str))
+                    if rows and (size + more > OUT_BYTES or len(rows) >= OUT_ROWS):
+                        yield batch(b, rows, found, order)
+                        rows, found, order, size = [], [], [], 0
                     rows.append(i)
                     found.append(x)
                     order.append(j)
-            columns = list(zip(*found)) if found else [()] * len(target)
-            taken = [b.column(c).take(pa.array(rows, pa.int64())) for c in keep]
-            made = [pa.array(list(c), f.type) for c, f in zip(columns, target)]
-            yield pa.RecordBatch.from_arrays([*taken, *made, pa.array(order, pa.int32())], names=[*keep, *target.names, "walk_ord"])
+                    size += more
+            if rows:
+                yield batch(b, rows, found, order)
 
     return df.select(*keep, *[F.col(c).alias(f"_in_{c}") for c in inputs]).mapInArrow(run, whole)
 
@@ -59,19 +75,19 @@ def _guard(make: Callable[[str], list[tuple]], on_error: str) -> Callable[[str |
     return run
 
 
-def python_functions(df: DataFrame, content: str, mode: str = "top", methods: bool = True, on_error: str = "skip") -> DataFrame:
+def python_functions(df: DataFrame, content: str, mode: str = "top", methods: bool = True, on_error: str = "skip", keep: list[str] | None = None) -> DataFrame:
     """Functions of Python sources: name, lineno, source.
 
     mode: top (module level and, with methods, one class level, as Class.method), walk_segment (any depth, source from
     def on), walk_lines (any depth, whole lines, so that indented functions don't parse alone). on_error: skip or fail
-    for sources that don't parse. Null and empty sources give nothing.
+    for sources that don't parse. Null and empty sources give nothing. keep: see explode_text.
     """
     make = {
         "top": lambda t: pysource.top_functions(t, methods),
         "walk_segment": pysource.all_functions,
         "walk_lines": lambda t: pysource.all_functions(t, whole_lines=True),
     }[mode]
-    return explode_text(df, [content], _guard(make, on_error), schemas.FUNCTION)
+    return explode_text(df, [content], _guard(make, on_error), schemas.FUNCTION, keep)
 
 
 def python_classes(df: DataFrame, content: str) -> DataFrame:
@@ -79,13 +95,13 @@ def python_classes(df: DataFrame, content: str) -> DataFrame:
     return explode_text(df, [content], _guard(lambda t: [(c.name, c.line, c.bases, c.methods, c.hash) for c in pysource.classes(t)], "skip"), schemas.CLASS)
 
 
-def js_functions(df: DataFrame, content: str, typescript: str | None = None) -> DataFrame:
-    """JavaScript and TypeScript functions: name, lineno, params, body_src. typescript: a boolean column."""
+def js_functions(df: DataFrame, content: str, typescript: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """JavaScript and TypeScript functions: name, lineno, params, body_src. typescript: a boolean column. keep: see explode_text."""
 
     def make(text: str | None, ts: bool | None = False) -> list[tuple]:
         return [(f.name, f.line, f.params, jscanon.source_of(f.body)) for f in jscanon.functions(text or "", bool(ts))]
 
-    return explode_text(df, [content, *([typescript] if typescript else [])], make, schemas.JS_FUNCTION)
+    return explode_text(df, [content, *([typescript] if typescript else [])], make, schemas.JS_FUNCTION, keep)
 
 
 def universal_functions(df: DataFrame, content: str, path: str) -> DataFrame:

@@ -19,12 +19,18 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _functions(spark: SparkSession, d: str) -> DataFrame:
-    found = extract.python_functions(_files(spark, d), "content")
-    return found.withColumn("sem_hash", sql.sem_hash(F.col("source")))
+    """Functions of the files with their hashes, parsed once; a file's text stays behind, for each function would have a copy."""
+    found = extract.python_functions(_files(spark, d), "content", keep=["path"])
+    return cut(found.withColumn("sem_hash", sql.sem_hash(F.col("source"))))
+
+
+def _places(spark: SparkSession, d: str) -> DataFrame:
+    found = extract.python_functions(_files(spark, d), "content", keep=["path"])
+    return cut(found.select("path", "name", "lineno", sql.sem_hash(F.col("source")).alias("sem_hash")))
 
 
 def _plan(spark: SparkSession, d: str) -> DataFrame:
-    return merge.merge_plan(_functions(spark, d), "sem_hash", "path", "name", "lineno")
+    return merge.merge_plan(_places(spark, d), "sem_hash", "path", "name", "lineno")
 
 
 def _counted(df: DataFrame) -> DataFrame:
@@ -44,7 +50,7 @@ def merge_delete_only(spark: SparkSession, d: str) -> DataFrame:
 
 def merge_chosen(spark: SparkSession, d: str) -> DataFrame:
     """The merge that keeps the copies chosen: of each cluster the last one by key, if it isn't in a first file."""
-    rows = _functions(spark, d)
+    rows = _places(spark, d)
     last = rows.groupBy("sem_hash").agg(F.max_by(F.struct(F.col("path").alias("file"), "name", "lineno"), F.regexp_extract("name", r"\d+", 0).cast("long")).alias("c"))
     plan = merge.merge_plan(rows, "sem_hash", "path", "name", "lineno", keep=last.select("sem_hash", "c.*").withColumn("noise", F.lit(1)))
     return plan.select("file", "name", "canonical_name")
