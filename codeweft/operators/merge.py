@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.functions import pysource, sql
 from codeweft.operators.clusters import clusters, health_after_merge, health_ui, ordered_clusters
+from codeweft.operators.extract import explode_text
 
 #: Fixed value: the module that the canonical functions go to.
 UTILS = "utils"
@@ -50,20 +52,20 @@ def apply_plan(files: DataFrame, plan: DataFrame, path: str = "path", content: s
         F.sort_array(F.collect_list(F.struct(F.col("lineno"), F.col("name"), F.when(F.col("file") != F.col("canonical_file"), F.col("import_statement")).alias("imp")))).alias("_r")
     )
 
-    def one(text: str | None, wanted: list) -> tuple[str | None, int, str | None]:
+    def one(text: str | None, wanted: list) -> list[tuple[str | None, int, str | None]]:
         try:
             new = pysource.remove_functions(text or "", [(r["name"], r["lineno"]) for r in wanted])
-            for statement in sorted({r["imp"] for r in wanted if r["imp"]} if imports else ()):
-                new = pysource.add_import(new, statement)
-            return new, len(wanted), None
+            new = pysource.add_imports(new, sorted({r["imp"] for r in wanted if r["imp"]} if imports else ()))
+            return [(new, len(wanted), None)]
         except (SyntaxError, ValueError, RecursionError) as e:
-            return text, 0, str(e)
+            return [(text, 0, str(e))]
+
+    return _rewritten(files.join(removals, path), [content, "_r"], one, "new_source string, removed int, error string", path)
 
-    @F.pandas_udf("new_source string, removed int, error string")
-    def rewrite(text: pd.Series, wanted: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(t, w) for t, w in zip(text, wanted)], columns=["new_source", "removed", "error"])
 
-    return files.join(removals, path).withColumn("_w", rewrite(content, "_r")).select(path, "_w.new_source", "_w.removed", "_w.error")
+def _rewritten(df: DataFrame, inputs: list[str], make: Callable[..., list[tuple]], schema: str, path: str) -> DataFrame:
+    """path and what make gives for each file. A worker takes file by file, for a file's text and members may be large."""
+    return explode_text(df, inputs, make, schema, [path]).drop("walk_ord")
 
 
 def apply_js(files: DataFrame, plan: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
@@ -98,21 +100,16 @@ def apply_python(files: DataFrame, plan: DataFrame, path: str = "path", content:
     every = plan.select("file", "name", "lineno", "canonical_name").unionByName(canonical)
     wanted = every.groupBy(F.col("file").alias(path)).agg(F.sort_array(F.collect_set(F.struct("name", "lineno", "canonical_name"))).alias("_r"))
 
-    def one(text: str | None, members: list) -> tuple[str | None, str | None]:
+    def one(text: str | None, members: list) -> list[tuple[str | None, str | None]]:
         try:
             new = pysource.remove_functions(text or "", [(m["name"], m["lineno"]) for m in members])
             new = pysource.rename_calls(new, {m["name"]: m["canonical_name"] for m in members})
-            for name in sorted({m["canonical_name"] for m in members}):
-                new = pysource.add_import(new, f"from {UTILS} import {name}")
-            return new, None
+            new = pysource.add_imports(new, [f"from {UTILS} import {name}" for name in sorted({m["canonical_name"] for m in members})])
+            return [(new, None)]
         except (SyntaxError, ValueError, RecursionError) as e:
-            return text, str(e)
-
-    @F.pandas_udf("new_source string, error string")
-    def rewrite(text: pd.Series, members: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(t, m) for t, m in zip(text, members)], columns=["new_source", "error"])
+            return [(text, str(e))]
 
-    return files.join(wanted, path).withColumn("_w", rewrite(content, "_r")).select(path, "_w.new_source", "_w.error")
+    return _rewritten(files.join(wanted, path), [content, "_r"], one, "new_source string, error string", path)
 
 
 def utils_module(files: DataFrame, plan: DataFrame, path: str = "path", content: str = "content") -> DataFrame:

@@ -7,7 +7,7 @@ from codeweft.plans import rewrite_plans
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("query", ["merge_chosen"])
+@pytest.mark.parametrize("query", ["merge_chosen", "merge_lines_saved"])
 def test_functions_come_without_their_file(spark, monkeypatch, query):
     """A file's text beside each of its functions grows with the square of the file."""
     made, explode = [], extract.explode_text
@@ -33,3 +33,17 @@ def test_wide_columns_go_out_in_small_batches(spark, monkeypatch):
     assert [tuple(r) for r in out.orderBy("k", "n").collect()] == [(k, str(i), i) for k in (1, 2, 3) for i in range(3)]
 
 
+def test_many_imports_come_in_one_pass(monkeypatch):
+    parses, parse = [], pysource.parse
+    monkeypatch.setattr(pysource, "parse", lambda text: parses.append(text) or parse(text))
+    imports = [f"from m{i % 7} import f{i} as g{i}" for i in range(50)]
+    for text in ("", "x = 1", "x = 1\n", '"""doc"""\nx = 1\n', "import os\n\nx = 1\n# from z import q\nfrom m3 import f3 as g3\ny = 2\n", "# remark\n\ndef f():\n    import a\n"):
+        want = text
+        for statement in imports:
+            want = pysource.add_import(want, statement)
+        parses.clear()
+        assert pysource.add_imports(text, imports) == want and len(parses) == 2
+    with pytest.raises(SyntaxError):
+        pysource.add_imports("x = 1\n", ["from a-b import c", "from d import e"])
+
+
