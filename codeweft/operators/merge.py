@@ -117,8 +117,8 @@ def utils_module(files: DataFrame, plan: DataFrame, path: str = "path", content:
 
     Sources are taken from the files as they were. A name that its file doesn't hold gives no row.
     """
-    wanted = plan.select(F.col("canonical_file").alias(path), F.col("canonical_name").alias("name")).distinct()
-    found = files.join(wanted, path).select(path, "name", sql.find_function(F.col(content), F.col("name")).alias("source")).filter("source is not null")
+    wanted = plan.groupBy(F.col("canonical_file").alias(path)).agg(F.collect_set("canonical_name").alias("_n"))
+    found = _rewritten(files.join(wanted, path), [content, "_n"], lambda text, names: list(pysource.find_functions(text, names).items()), "name string, source string", path)
     return found.groupBy("name").agg(F.min(F.struct(path, "source")).getField("source").alias("source"))
 
 

@@ -7,7 +7,7 @@ from codeweft.plans import rewrite_plans
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("query", ["merge_chosen", "merge_lines_saved", "merge_shared_module", "merge_delete_only"])
+@pytest.mark.parametrize("query", ["merge_chosen", "merge_lines_saved", "merge_shared_module", "merge_delete_only", "merge_utils"])
 def test_functions_come_without_their_file(spark, monkeypatch, query):
     """A file's text beside each of its functions grows with the square of the file."""
     made, explode = [], extract.explode_text
@@ -47,3 +47,11 @@ def test_many_imports_come_in_one_pass(monkeypatch):
         pysource.add_imports("x = 1\n", ["from a-b import c", "from d import e"])
 
 
+def test_functions_of_a_file_are_found_in_one_pass(monkeypatch):
+    parses, parse = [], pysource.parse
+    monkeypatch.setattr(pysource, "parse", lambda text: parses.append(text) or parse(text))
+    text = "def a():\n    return 1\n\ndef b(): pass\n\ndef a():\n    return 2\n"
+    assert pysource.find_functions(text, ["a", "b", "c", None]) == {"a": "def a():\n    return 1", "b": "def b(): pass"} and len(parses) == 1
+    assert pysource.find_functions("def (", ["a"]) == {} == pysource.find_functions(None, ["a"])
+
+
