@@ -78,15 +78,11 @@ def apply_js(files: DataFrame, plan: DataFrame, path: str = "path", content: str
         every = every.unionByName(plan.select(F.col("canonical_file").alias("file"), F.col("canonical_name").alias("name"), "canonical_name").distinct())
     removals = every.groupBy(F.col("file").alias(path)).agg(F.sort_array(F.collect_set(F.struct("name", "canonical_name"))).alias("_r"))
 
-    def one(text: str | None, wanted: list) -> str:
+    def one(text: str | None, wanted: list) -> list[tuple[str]]:
         names = {r["name"]: r["canonical_name"] for r in wanted}
-        return pysource.rewrite_js(text or "", names, sorted(set(names.values())))
+        return [(pysource.rewrite_js(text or "", names, sorted(set(names.values()))),)]
 
-    @F.pandas_udf("string")
-    def rewrite(text: pd.Series, wanted: pd.Series) -> pd.Series:
-        return pd.Series([one(t, w) for t, w in zip(text, wanted)], dtype=object)
-
-    return files.join(removals, path).select(path, rewrite(content, "_r").alias("new_source"))
+    return _rewritten(files.join(removals, path), [content, "_r"], one, "new_source string", path)
 
 
 def apply_python(files: DataFrame, plan: DataFrame, path: str = "path", content: str = "content") -> DataFrame:

@@ -73,7 +73,7 @@ def merge_lines_saved(spark: SparkSession, d: str) -> DataFrame:
 def js_merge(spark: SparkSession, d: str) -> DataFrame:
     """Script files after their copies went to utils.js."""
     files = cut(generated.js_files(spread(table(spark, d, "part"))))
-    found = extract.js_functions(files, "content").withColumn("h", sql.js_hash(F.col("params"), F.col("body_src")))
+    found = cut(extract.js_functions(files, "content", keep=["path"]).select("path", "name", "lineno", sql.js_hash(F.col("params"), F.col("body_src")).alias("h")))
     plan = merge.merge_plan(found, "h", "path", "name", "lineno")
     out = merge.apply_js(files, plan)
     lines = F.split("new_source", "\n")

@@ -7,7 +7,7 @@ from codeweft.plans import rewrite_plans
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("query", ["merge_chosen", "merge_lines_saved", "merge_shared_module", "merge_delete_only", "merge_utils", "merge_apply"])
+@pytest.mark.parametrize("query", ["merge_chosen", "merge_lines_saved", "merge_shared_module", "merge_delete_only", "merge_utils", "merge_apply", "js_merge"])
 def test_functions_come_without_their_file(spark, monkeypatch, query):
     """A file's text beside each of its functions grows with the square of the file."""
     made, explode = [], extract.explode_text
@@ -55,3 +55,7 @@ def test_functions_of_a_file_are_found_in_one_pass(monkeypatch):
     assert pysource.find_functions("def (", ["a"]) == {} == pysource.find_functions(None, ["a"])
 
 
+def test_script_tokens_share_their_texts():
+    js = "\n".join(f"function f{i}(abc) {{ return abc + {i}; }}" for i in range(300))
+    toks = jscanon.lex(js)
+    assert len({id(t.text) for t in toks}) == len({t.text for t in toks}) and [t.line for t in toks if t.text == "function"] == list(range(1, 301))
