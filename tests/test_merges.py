@@ -7,7 +7,7 @@ from codeweft.plans import rewrite_plans
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("query", ["merge_chosen", "merge_lines_saved", "merge_shared_module", "merge_delete_only", "merge_utils", "merge_apply", "js_merge", "restored_archives", "restored_utils"])
+@pytest.mark.parametrize("query", ["merge_chosen", "merge_lines_saved", "merge_shared_module", "merge_delete_only", "merge_utils", "merge_apply", "js_merge", "restored_archives", "restored_utils", "restored_whole_files"])
 def test_functions_come_without_their_file(spark, monkeypatch, query):
     """A file's text beside each of its functions grows with the square of the file."""
     made, explode = [], extract.explode_text
