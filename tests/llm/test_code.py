@@ -379,6 +379,18 @@ def test_bounds_lose_no_repair(monkeypatch):
         assert free[0] == cost, x
 
 
+def test_the_least_number_of_edits_is_enough():
+    """A repair is found when just as many edits are looked for as it needs, also where neighbours need all of them."""
+    g = Grammar("s: e ';'?\ne: t ('+' t)*\nt: 'x' | '(' e ')' | 'f' '(' e (',' e)* ')'")
+    rng = random.Random(8)
+    for _ in range(300):
+        x = tuple(rng.choice("x+();f,?") for _ in range(rng.randrange(1, 10)))
+        cost, places, sure = g.least_repair(x, "s", 10**9)
+        got = g.repair(x, "s", 20)
+        assert sure and got[0] == cost and len(places) == cost, x
+        assert cost == 0 or g.repair(x, "s", cost)[0] == cost, x
+
+
 def test_small_work_gives_a_lower_bound():
     tokens = ("NAME",) * 12
     cost, places, sure = pysyntax.LINE.least_repair(tokens, "simple", 10)
