@@ -90,6 +90,21 @@ def python_functions(df: DataFrame, content: str, mode: str = "top", methods: bo
     return explode_text(df, [content], _guard(make, on_error), schemas.FUNCTION, keep)
 
 
+def hashed_functions(df: DataFrame, content: str, variant: str = pycanon.STRICT, source: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """Functions of module and classes as python_functions gives them, with sem_hash, in one pass; without source that stays behind.
+
+    One worker finds and hashes them, where a hash column behind python_functions takes a second one beside it.
+    """
+
+    def make(text: str) -> list[tuple]:
+        found = pysource.top_functions(text)
+        hashes = {code: pycanon.hash_or_none(code, variant) for code in {f.source for f in found}}
+        return [(f.name, f.line, *([f.source] if source else []), hashes[f.source]) for f in found]
+
+    schema = schemas.FUNCTION if source else "name string, lineno int"
+    return explode_text(df, [content], _guard(make, "skip"), f"{schema}, sem_hash string", keep)
+
+
 def python_classes(df: DataFrame, content: str) -> DataFrame:
     """Classes with methods of Python sources; sources that don't parse give nothing."""
     return explode_text(df, [content], _guard(lambda t: [(c.name, c.line, c.bases, c.methods, c.hash) for c in pysource.classes(t)], "skip"), schemas.CLASS)

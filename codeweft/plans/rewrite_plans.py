@@ -20,13 +20,11 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
 
 def _functions(spark: SparkSession, d: str) -> DataFrame:
     """Functions of the files with their hashes, parsed once; a file's text stays behind, for each function would have a copy."""
-    found = extract.python_functions(_files(spark, d), "content", keep=["path"])
-    return cut(found.withColumn("sem_hash", sql.sem_hash(F.col("source"))))
+    return cut(extract.hashed_functions(_files(spark, d), "content", keep=["path"]))
 
 
 def _places(spark: SparkSession, d: str) -> DataFrame:
-    found = extract.python_functions(_files(spark, d), "content", keep=["path"])
-    return cut(found.select("path", "name", "lineno", sql.sem_hash(F.col("source")).alias("sem_hash")))
+    return cut(extract.hashed_functions(_files(spark, d), "content", source=False, keep=["path"]))
 
 
 def _plan(spark: SparkSession, d: str) -> DataFrame:

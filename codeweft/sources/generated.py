@@ -134,9 +134,13 @@ def customer_blocks(customer: DataFrame, blocks: list[tuple]) -> DataFrame:
     return customer.select("c_custkey", "c_nationkey", pick(lambda b: F.lit(b[0])).alias("language"), pick(lambda b: _text(b[1], k=k, n=n)).alias("code"))
 
 
+#: Partitions of whole files for each one of rows: those of a partition go to a worker in one batch.
+FILE_PARTS = 4
+
+
 def part_files(part: DataFrame) -> DataFrame:
     """Python files of the functions of python_parts: path, content with an import and the functions in order of key, five lines and a blank one each."""
-    rows = python_parts(part).repartition(_wide(part), "file")
+    rows = python_parts(part).repartition(FILE_PARTS * _wide(part), "file")
     joined = rows.groupBy(F.col("file").alias("path")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "code"))).alias("_f"))
     return joined.select("path", F.concat(F.lit("import os\n\n"), F.array_join(F.transform("_f", lambda x: x["code"]), "\n")).alias("content"))
 

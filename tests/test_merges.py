@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from codeweft.functions import jscanon, pysource
+from codeweft.functions import jscanon, pysource, sql
 from codeweft.operators import extract
 from codeweft.plans import rewrite_plans
 
@@ -59,3 +60,59 @@ def test_script_tokens_share_their_texts():
     js = "\n".join(f"function f{i}(abc) {{ return abc + {i}; }}" for i in range(300))
     toks = jscanon.lex(js)
     assert len({id(t.text) for t in toks}) == len({t.text for t in toks}) and [t.line for t in toks if t.text == "function"] == list(range(1, 301))
+
+
+@pytest.mark.parametrize("query", ["merge_shared_module"])
+def test_functions_are_found_and_hashed_by_one_worker(spark, monkeypatch, query):
+    """A hash column behind the extraction takes a second Python worker for each core."""
+    made, explode = [], extract.explode_text
+
+    def recorded(*args, **more):
+        made.append(explode(*args, **more))
+        return made[-1]
+
+    monkeypatch.setattr(extract, "explode_text", recorded)
+    rewrite_plans.QUERIES[query](spark, DATA)
+    assert len(made) == 1 and "sem_hash" in made[0].columns and ("source" in made[0].columns) == query.startswith("restored")
+
+
+def test_hashed_functions_are_those_found_alone(spark):
+    df = spark.createDataFrame([(1, "def a(x):\n    return x\n\nclass C:\n    def m(self): pass\n\ndef b(y):\n    return y\n"), (2, "def ("), (3, None), (4, "")], "k int, t string")
+    want = extract.python_functions(df, "t", keep=["k"]).withColumn("sem_hash", sql.sem_hash(F.col("source")))
+    cols = ["k", "walk_ord", "name", "lineno", "source", "sem_hash"]
+    got = extract.hashed_functions(df, "t", keep=["k"])
+    rows = sorted(map(tuple, got.select(cols).collect()))
+    assert rows == sorted(map(tuple, want.select(cols).collect())) and len(rows) == 3
+    assert extract.hashed_functions(df, "t", source=False, keep=["k"]).columns == ["k", "name", "lineno", "sem_hash", "walk_ord"]
+
+
+def test_large_sources_are_parsed_in_pieces(monkeypatch):
+    """The tree of a whole source takes 100 times its size."""
+    sizes, parse = [], pysource.parse
+    monkeypatch.setattr(pysource, "parse", lambda text: sizes.append(len(text)) or parse(text))
+    large = '"""doc"""\n' + "".join(f"def f{i}(a):\n    return g{i}(a)\n\n" for i in range(12_000))
+    found = pysource.top_functions(large)
+    assert len(found) == 12_000 and found[-1] == ("f11999", 2 + 3 * 11_999, "def f11999(a):\n    return g11999(a)")
+    left = pysource.remove_functions(large, [(f.name, f.line) for f in found[1:]])
+    assert left == '"""doc"""\ndef f0(a):\n    return g0(a)\n\n'
+    assert pysource.rename_calls(large, {"g11999": "h"}).endswith("\n\ndef f11999(a):\n    return h(a)")
+    assert pysource.add_imports(large, ["import x", "import y"]).startswith('"""doc"""\nimport x\nimport y\ndef f0(a)')
+    assert max(sizes) < len(large) / 4
+
+
+def test_pieces_end_where_statements_end(monkeypatch):
+    good = [
+        '"""doc\ndef no(): pass\n"""\nx = 1\nimport os\ndef a():\n    return (1,\n2)\n@d(\n)\ndef b(): c(1)\nx = [\n"""\nclass N: pass\n"""]\nfrom q \\\nimport z\nclass C:\n    """doc"""\n    @e\n    def m(self): c(2)\nasync def f(): pass\nif x:\n    c(3)\nelse:\n    pass\n',
+        "# remark\nimport os\n'text'\ndef a(): return c('é\\x0c')\n\x0c\ndef b(): pass", "", "x = 1", "'doc'\nx = c(1)\ndef a(): pass\n",
+    ]
+    bad = ["def a(): pass\ndef b(\ndef c(): pass\n", "x = 1\n@d\n", "def a(): pass\nimport os\n\x00", "def a(): pass\nimport \ud800\n"]
+    for text in [*good, *(x.replace("\n", "\r\n") for x in good), *bad]:
+        seen = []
+        for size in (1 << 30, 1, 20):
+            monkeypatch.setattr(pysource, "PIECE", size)
+            try:
+                found = pysource.top_functions(text)
+                seen.append((found, pysource.remove_functions(text, [f[:2] for f in found[::2]]), pysource.rename_calls(text, {"c": "k"}), pysource.add_imports(text, ["import k", "from k import q"])))
+            except (SyntaxError, ValueError) as e:
+                seen.append((type(e), str(e)))
+        assert seen[0] == seen[1] == seen[2]
