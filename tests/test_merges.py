@@ -62,7 +62,7 @@ def test_script_tokens_share_their_texts():
     assert len({id(t.text) for t in toks}) == len({t.text for t in toks}) and [t.line for t in toks if t.text == "function"] == list(range(1, 301))
 
 
-@pytest.mark.parametrize("query", ["merge_shared_module", "merge_apply", "merge_delete_only", "restored_whole_files", "restored_archives"])
+@pytest.mark.parametrize("query", ["merge_shared_module", "merge_apply", "merge_delete_only", "restored_whole_files", "restored_archives", "restored_utils"])
 def test_functions_are_found_and_hashed_by_one_worker(spark, monkeypatch, query):
     """A hash column behind the extraction takes a second Python worker for each core."""
     made, explode = [], extract.explode_text
