@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeweft.functions import jscanon, pysource, sql
-from codeweft.operators import extract
+from codeweft.operators import extract, merge
 from codeweft.plans import rewrite_plans
 
 DATA = "/root/testdata/sf0.001"
@@ -116,3 +116,34 @@ def test_pieces_end_where_statements_end(monkeypatch):
             except (SyntaxError, ValueError) as e:
                 seen.append((type(e), str(e)))
         assert seen[0] == seen[1] == seen[2]
+
+
+def _columns(kind):
+    return [*kind.fieldNames(), *(c for f in kind.fields for c in _inside(f.dataType))]
+
+
+def _inside(kind):
+    kind = getattr(kind, "elementType", kind)
+    return _columns(kind) if hasattr(kind, "fieldNames") else []
+
+
+PLAN = "file string, name string, lineno int, canonical_file string, canonical_name string, canonical_lineno int, import_statement string"
+COPIES = [("m.py", "b", 4, "a.py", "a", 1, "from a import a as b"), ("m.py", "c", 7, "a.py", "a", 1, "from a import a as c"), ("m.py", "d", 10, "m.py", "x", 1, "from m import x as d")]
+SOURCE = "def x():\n    pass\n\ndef b():\n    return 1\n\ndef c():\n    return 2\n\ndef d():\n    return 3\n"
+
+
+def _given(monkeypatch):
+    """Types of what the workers get."""
+    given, rewritten = [], merge._rewritten
+    monkeypatch.setattr(merge, "_rewritten", lambda df, inputs, *more: given.append([df.schema[c].dataType for c in inputs]) or rewritten(df, inputs, *more))
+    return given
+
+
+def test_removals_go_to_the_worker_as_plain_arrays(spark, monkeypatch):
+    """An array of structs becomes a dictionary for each removal, with a text for each import."""
+    given = _given(monkeypatch)
+    out = merge.apply_plan(spark.createDataFrame([("m.py", SOURCE), ("n.py", SOURCE)], "path string, content string"), spark.createDataFrame(COPIES + [("n.py", "b", 4, "a.py", "a", 1, None)], PLAN))
+    assert given and not any(_inside(kind) for kind in given[0])
+    rows = {r.path: r for r in out.collect()}
+    assert rows["m.py"].new_source == "from a import a as b\nfrom a import a as c\ndef x():\n    pass\n\n" and (rows["m.py"].removed, rows["m.py"].error) == (3, None)
+    assert rows["n.py"].new_source == SOURCE.replace("def b():\n    return 1\n\n", "") and rows["n.py"].removed == 1
