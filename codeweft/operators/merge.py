@@ -46,24 +46,24 @@ def apply_plan(files: DataFrame, plan: DataFrame, path: str = "path", content: s
 
     The removals of a file are gathered to the file's row; there are no more of them than functions in the file. Files
     that don't parse keep their text and say why. An import is added for every copy whose canonical one is elsewhere,
-    unless imports is false, as in a merge that only deletes.
+    unless imports is false, as in a merge that only deletes; then none is gathered.
     """
     statements = F.sort_array(F.collect_set(F.when(F.col("file") != F.col("canonical_file"), F.col("import_statement"))))
     removals = plan.groupBy(F.col("file").alias(path)).agg(
-        F.sort_array(F.collect_list(F.struct("lineno", "name"))).alias("_r"), statements.alias("_i")
+        F.sort_array(F.collect_list(F.struct("lineno", "name"))).alias("_r"), *([statements.alias("_i")] if imports else [])
     )
     # plain arrays: a worker makes a dictionary of each struct
-    gathered = removals.select(path, F.col("_r.lineno").alias("_l"), F.col("_r.name").alias("_n"), "_i")
+    gathered = removals.select(path, F.col("_r.lineno").alias("_l"), F.col("_r.name").alias("_n"), *(["_i"] if imports else []))
 
-    def one(text: str | None, lines: list, names: list, new_imports: list) -> list[tuple[str | None, int, str | None]]:
+    def one(text: str | None, lines: list, names: list, new_imports: list | tuple = ()) -> list[tuple[str | None, int, str | None]]:
         try:
             new = pysource.remove_functions(text or "", list(zip(names, lines)))
-            new = pysource.add_imports(new, [x for x in new_imports if imports and x])
+            new = pysource.add_imports(new, [x for x in new_imports if x])
             return [(new, len(lines), None)]
         except (SyntaxError, ValueError, RecursionError) as e:
             return [(text, 0, str(e))]
 
-    return _rewritten(files.join(gathered, path), [content, "_l", "_n", "_i"], one, "new_source string, removed int, error string", path)
+    return _rewritten(files.join(gathered, path), [content, "_l", "_n", *(["_i"] if imports else [])], one, "new_source string, removed int, error string", path)
 
 
 def _rewritten(df: DataFrame, inputs: list[str], make: Callable[..., list[tuple]], schema: str, path: str) -> DataFrame:

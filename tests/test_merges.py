@@ -147,3 +147,12 @@ def test_removals_go_to_the_worker_as_plain_arrays(spark, monkeypatch):
     rows = {r.path: r for r in out.collect()}
     assert rows["m.py"].new_source == "from a import a as b\nfrom a import a as c\ndef x():\n    pass\n\n" and (rows["m.py"].removed, rows["m.py"].error) == (3, None)
     assert rows["n.py"].new_source == SOURCE.replace("def b():\n    return 1\n\n", "") and rows["n.py"].removed == 1
+
+
+def test_a_merge_that_only_deletes_gathers_no_imports(spark, monkeypatch):
+    given = _given(monkeypatch)
+    plan = spark.createDataFrame(COPIES, PLAN)
+    out = merge.apply_plan(spark.createDataFrame([("m.py", SOURCE)], "path string, content string"), plan, imports=False)
+    assert [kind.simpleString() for kind in given[0]] == ["string", "array<int>", "array<string>"]
+    assert "import_statement" not in out._jdf.queryExecution().optimizedPlan().toString().split("Aggregate", 1)[1].splitlines()[0]
+    assert [tuple(r) for r in out.collect()] == [("m.py", "def x():\n    pass\n\n", 3, None)]
