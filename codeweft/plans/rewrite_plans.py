@@ -19,8 +19,8 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _functions(spark: SparkSession, d: str) -> DataFrame:
-    """Functions of the files with their hashes, parsed once; a file's text stays behind, for each function would have a copy."""
-    return cut(extract.hashed_functions(_files(spark, d), "content", keep=["path"]))
+    """Functions of the files with their hashes; a file's text stays behind, for each function would have a copy."""
+    return extract.hashed_functions(_files(spark, d), "content", keep=["path"])
 
 
 def _places(spark: SparkSession, d: str) -> DataFrame:
@@ -82,18 +82,19 @@ def js_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def restored_whole_files(spark: SparkSession, d: str) -> DataFrame:
-    files, _ = merge.restore_files(_functions(spark, d), "sem_hash", "path", "name", "lineno", "source")
+    files, _ = merge.restore_files(cut(_functions(spark, d)), "sem_hash", "path", "name", "lineno", "source")
     return files.select("path", "n_functions", sql.source_hash(F.col("content")).alias("content_sha256"))
 
 
 def restored_utils(spark: SparkSession, d: str) -> DataFrame:
+    # one aggregate reads the functions, so they aren't written first
     _, utils = merge.restore_files(_functions(spark, d), "sem_hash", "path", "name", "lineno", "source")
     return utils.select("name", sql.source_hash(F.col("source")).alias("source_sha256"))
 
 
 def restored_archives(spark: SparkSession, d: str) -> DataFrame:
     """Restored files in archives; the archives together hold each file once."""
-    files, _ = merge.restore_files(_functions(spark, d), "sem_hash", "path", "name", "lineno", "source")
+    files, _ = merge.restore_files(cut(_functions(spark, d)), "sem_hash", "path", "name", "lineno", "source")
     return reports.archives(files, "path", "content").agg(F.sum("n_files").alias("n_files"), F.count_if(F.substring("archive", 1, 2) != F.unhex(F.lit("504B"))).alias("n_bad"))
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from codeweft.functions import jscanon, pysource, sql
 from codeweft.operators import extract, merge
 from codeweft.plans import rewrite_plans
+from codeweft.session import cut
 
 DATA = "/root/testdata/sf0.001"
 
@@ -156,3 +157,15 @@ def test_a_merge_that_only_deletes_gathers_no_imports(spark, monkeypatch):
     assert [kind.simpleString() for kind in given[0]] == ["string", "array<int>", "array<string>"]
     assert "import_statement" not in out._jdf.queryExecution().optimizedPlan().toString().split("Aggregate", 1)[1].splitlines()[0]
     assert [tuple(r) for r in out.collect()] == [("m.py", "def x():\n    pass\n\n", 3, None)]
+
+
+def test_the_utils_module_is_restored_without_writing_the_functions(spark, monkeypatch):
+    """One aggregate reads them; written and read again they take a share of every executor."""
+    written = []
+    monkeypatch.setattr(rewrite_plans, "cut", lambda df: written.append(df) or cut(df))
+    got = rewrite_plans.restored_utils(spark, DATA)
+    assert not written
+    hashed = spark.createDataFrame(rewrite_plans._functions(spark, DATA).collect())
+    _, utils = merge.restore_files(hashed, "sem_hash", "path", "name", "lineno", "source")
+    want = utils.select("name", sql.source_hash(F.col("source")).alias("source_sha256"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count()
