@@ -88,28 +88,28 @@ def write_lines(lines: DataFrame, order: list[str], path: str) -> None:
 def archives(files: DataFrame, path: str, content: str, limit: int = ARCHIVE_BYTES) -> DataFrame:
     """(n_files, archive binary): ZIP archives of text files, each of at most limit bytes of content or of one larger file.
 
-    Files of a partition go into archives in turn, so nothing is gathered. Null contents count as empty.
+    Files of a partition go into archives in turn, so nothing is gathered. Null contents count as empty. A file is packed
+    as it comes: a worker holds one and the packed bytes of those before.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[str, bytes]] = []
-        size = 0
+        buffer, archive, held, size = io.BytesIO(), None, 0, 0
 
         def packed() -> pa.RecordBatch:
-            buffer = io.BytesIO()
-            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-                for name, data in held:
-                    z.writestr(name, data)
-            return pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int64()), pa.array([buffer.getvalue()], pa.binary())], names=["n_files", "archive"])
+            archive.close()
+            ends = pa.array([0, buffer.tell()], pa.int32()).buffers()[1]
+            data = pa.Array.from_buffers(pa.binary(), 1, [None, ends, pa.py_buffer(buffer.getbuffer())])
+            return pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), data], names=["n_files", "archive"])
 
         for b in batches:
-            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                data = (text or "").encode("utf-8", "replace")
+            for name, text in zip(b.column(0), b.column(1)):
+                data = (text.as_py() or "").encode("utf-8", "replace")
                 if held and size + len(data) > limit:
                     yield packed()
-                    held, size = [], 0
-                held.append((name or "", data))
-                size += len(data)
+                    buffer, archive, held, size = io.BytesIO(), None, 0, 0
+                archive = archive or zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED)
+                archive.writestr(name.as_py() or "", data)
+                held, size = held + 1, size + len(data)
         if held:
             yield packed()
 

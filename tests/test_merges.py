@@ -1,8 +1,13 @@
+import io
+import tracemalloc
+import zipfile
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from codeweft.functions import jscanon, pysource, sql
-from codeweft.operators import extract, merge
+from codeweft.operators import extract, merge, reports
 from codeweft.plans import rewrite_plans
 from codeweft.session import cut
 
@@ -169,3 +174,28 @@ def test_the_utils_module_is_restored_without_writing_the_functions(spark, monke
     _, utils = merge.restore_files(hashed, "sem_hash", "path", "name", "lineno", "source")
     want = utils.select("name", sql.source_hash(F.col("source")).alias("source_sha256"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count()
+
+
+def _archives(spark, monkeypatch, texts, limit):
+    """What archives gives for texts in batches of ten, and the most memory that Python takes for it."""
+    runs, df = [], spark.createDataFrame([], "path string, content string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: runs.append(run))
+    reports.archives(df, "path", "content", limit)
+    names = [f"f{i}" for i in range(len(texts))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(names[i : i + 10]), pa.array(texts[i : i + 10], pa.string())], names=["path", "content"]) for i in range(0, len(texts), 10)]
+    tracemalloc.start()
+    out = [r for b in runs[0](iter(batches)) for r in b.to_pylist()]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, most
+
+
+def test_files_are_packed_as_they_come(spark, monkeypatch):
+    """A worker held the texts of a whole archive, and the files of a batch twice."""
+    out, most = _archives(spark, monkeypatch, ["x" * 1_000_000] * 40, 64 << 20)
+    assert [r["n_files"] for r in out] == [40] and most < 8_000_000
+    out, _ = _archives(spark, monkeypatch, ["a" * 60, None, "b" * 60, "é" * 200, "", "c"], 100)
+    assert [r["n_files"] for r in out] == [2, 1, 1, 2]
+    held = [{n: z.read(n).decode() for n in z.namelist()} for z in (zipfile.ZipFile(io.BytesIO(r["archive"])) for r in out)]
+    assert held == [{"f0": "a" * 60, "f1": ""}, {"f2": "b" * 60}, {"f3": "é" * 200}, {"f4": "", "f5": "c"}]
+    assert _archives(spark, monkeypatch, [], 100)[0] == []
