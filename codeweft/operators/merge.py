@@ -126,14 +126,18 @@ def restore_files(functions: DataFrame, key: str, file: str, name: str, line: st
 
     files: (path, content, n_functions) with the unique functions of each file in order of line, behind an import of the
     canonical functions whose copies it had. utils: (name, source), one row for each cluster's first function. A file
-    with copies only keeps its import; functions without a hash count as unique. A file's functions meet in one row, as
-    in the file itself.
+    with copies only keeps its import; functions without a hash or a name count as unique. A file's unique functions meet
+    in one row, as in the file itself. Sources go by the aggregate of their hash alone, where those of copies are left on the
+    map side; no join moves them.
     """
-    rows = functions.select(F.col(key).alias("k"), F.col(file).alias("path"), F.col(name).alias("name"), F.col(line).alias("lineno"), F.col(source).alias("source"))
-    found = clusters(rows, "k", ["path", "lineno", "name", "source"]).select("k", F.col("first.name").alias("canonical"), F.col("first.source").alias("canonical_source"))
-    told = rows.join(found.select("k", "canonical"), "k", "left")
-    own = F.when(F.col("canonical").isNull(), F.struct("lineno", "name", "source"))
-    gathered = told.groupBy("path").agg(F.sort_array(F.collect_list(own)).alias("_own"), F.sort_array(F.collect_set("canonical")).alias("_shared"))
+    named = F.when(F.col(name).isNotNull(), F.col(key))
+    rows = functions.select(named.alias("k"), F.col(file).alias("path"), F.col(name).alias("name"), F.col(line).alias("lineno"), F.col(source).alias("source"))
+    every = clusters(rows, "k", ["path", "lineno", "name", "source"], least=1)
+    found = every.filter(F.col("n_members") > 1).select("k", F.col("first.name").alias("canonical"), F.col("first.source").alias("canonical_source"))
+    alone = every.filter(F.col("n_members") == 1).select("first.path", "first.lineno", "first.name", "first.source")
+    own = alone.unionByName(rows.filter(F.col("k").isNull()).drop("k")).select("path", F.struct("lineno", "name", "source").alias("own"), F.lit(None).cast("string").alias("canonical"))
+    shared = rows.select("k", "path").distinct().join(found.select("k", "canonical"), "k").select("path", F.lit(None).cast(own.schema["own"].dataType).alias("own"), "canonical")
+    gathered = own.unionByName(shared).groupBy("path").agg(F.sort_array(F.collect_list("own")).alias("_own"), F.sort_array(F.collect_set("canonical")).alias("_shared"))
     imported = F.when(F.size("_shared") > 0, F.array(F.concat(F.lit(f"from {UTILS} import "), F.array_join("_shared", ", ")))).otherwise(F.array().cast("array<string>"))
     text = F.array_join(F.concat(imported, F.transform("_own", lambda x: x["source"])), "\n\n")
     utils = found.groupBy(F.col("canonical").alias("name")).agg(F.min(F.struct("k", "canonical_source")).getField("canonical_source").alias("source"))

@@ -199,3 +199,24 @@ def test_files_are_packed_as_they_come(spark, monkeypatch):
     held = [{n: z.read(n).decode() for n in z.namelist()} for z in (zipfile.ZipFile(io.BytesIO(r["archive"])) for r in out)]
     assert held == [{"f0": "a" * 60, "f1": ""}, {"f2": "b" * 60}, {"f3": "é" * 200}, {"f4": "", "f5": "c"}]
     assert _archives(spark, monkeypatch, [], 100)[0] == []
+
+
+FUNCTIONS = "h string, file string, name string, line int, src string"
+
+
+def test_no_join_moves_the_sources_of_restored_files(spark):
+    rows = [("h", "f", "a", 9, "A"), ("h", "g", "b", 1, "B"), ("h", "g", "c", 5, "C"), ("u", "g", "d", 3, "D"), (None, "g", "e", 2, "E"), ("h", "g", None, 4, "N"), ("v", None, "z", 1, "Z"), ("w", "k", "p", 1, "P"), ("w", "k", "p", 1, "P")]
+    files, utils = merge.restore_files(spark.createDataFrame(rows, FUNCTIONS).cache(), "h", "file", "name", "line", "src")
+    assert {r.path: (r.content, r.n_functions) for r in files.collect()} == {"f": ("from utils import a", 0), "g": ("from utils import a\n\nE\n\nD\n\nN", 3), "k": ("from utils import p", 0), None: ("Z", 1)}
+    assert sorted(map(tuple, utils.collect())) == [("a", "A"), ("p", "P")]
+    plan, joins = files._jdf.queryExecution().optimizedPlan(), 0
+    left = [plan]
+    while left:
+        node = left.pop()
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        left += below
+        if node.nodeName() == "Join":
+            joins += 1
+            names = [x.output().apply(i).name() for x in below for i in range(x.output().size())]
+            assert not {"src", "source", "own"} & set(names), names
+    assert joins
